@@ -27,7 +27,7 @@ from quillstream.llm import common
 CHUNK_CHARS = 24 << 20
 #: Words that an encoding task remembers at once.
 REMEMBERED = 2_000_000
-CODEC = "zstd"
+CODEC, LEVEL = "zstd", 12
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -42,7 +42,7 @@ def ranks_of(data: bytes) -> dict[bytes, int]:
 
 
 def _pack(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec=CODEC, asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec(CODEC, compression_level=LEVEL).compress(data, asbytes=True)
 
 
 def _unpack(blob: bytes) -> bytes:
@@ -51,12 +51,30 @@ def _unpack(blob: bytes) -> bytes:
 
 
 def pack_ints(x: np.ndarray) -> bytes:
-    """Unsigned integers as byte planes, which compress well where most numbers are small."""
-    return _pack(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    """Unsigned integers, seven bits a byte, the last byte of each below 128: small numbers are short."""
+    x = x.astype(np.uint64)
+    size = np.ones(len(x), np.int64)
+    for k in range(1, 5):
+        size += x >= (1 << 7 * k)
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(5):
+        some = size > k
+        out[at[some] + k] = ((x[some] >> np.uint64(7 * k)) & np.uint64(127)) | ((size[some] > k + 1) * np.uint64(128))
+    return _pack(out.tobytes())
 
 
 def unpack_ints(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(_unpack(blob), np.uint8).reshape(4, -1).T).reshape(-1).view("<u4")
+    data = np.frombuffer(_unpack(blob), np.uint8)
+    last = np.flatnonzero(data < 128)
+    first = np.r_[0, last[:-1] + 1] if len(last) else last
+    out = np.zeros(len(last), np.uint32)
+    for k in range(5):
+        some = last - first >= k
+        if not some.any():
+            break
+        out[some] |= (data[first[some] + k].astype(np.uint32) & np.uint32(127)) << np.uint32(7 * k)
+    return out
 
 
 def pack_words(words: list[bytes]) -> bytes:
@@ -91,9 +109,15 @@ def _chunks(pattern: str, buckets: int):
             if not ids:
                 return
             chunk, made = (part << 32) | made, made + 1
-            words = [w.encode() for w in known]
+            seq = np.concatenate(seqs)
+            count = np.bincount(seq, minlength=len(known))
+            often = np.argsort(-count, kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(known), np.uint32)
+            rank[often] = np.arange(len(known))
+            listed = list(known)
+            words = [listed[i].encode() for i in often.tolist()]
             at = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.uint32, len(words))
-            out = [(chunk, -1, ids, lengths, pack_ints(np.concatenate(seqs) if seqs else np.zeros(0, "<u4")), pack_ints(at))]
+            out = [(chunk, -1, ids, lengths, pack_ints(rank[seq]), pack_ints(at))]
             order = np.argsort(at, kind="stable")
             bounds = np.searchsorted(at[order], np.arange(buckets + 1))
             for b in range(buckets):
