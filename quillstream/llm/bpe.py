@@ -26,7 +26,7 @@ from quillstream.llm import common
 #: Characters of text in a chunk; a longer text is a chunk of its own.
 CHUNK_CHARS = 24 << 20
 #: Words that an encoding task remembers at once.
-REMEMBERED = 2_000_000
+REMEMBERED = 250_000
 CODEC, LEVEL = "zstd", 12
 
 

@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Documents carry labels, tokens don't. On a bounded sample of labelled documents (SAMPLE of each class, near copies
-once), words and prefixes that are many times likelier in toxic documents label the tokens of toxic documents. The
+once), words and proper prefixes that are much likelier in toxic documents label the tokens of toxic documents. The
 field is trained on those tokens: emissions from the word, its prefixes and suffix, transitions between plain and
 toxic. Scoring runs forward-backward over whole texts, many texts at once, and a logistic curve fitted on the sample
 turns the marginals of a text into its score; tokens of a marginal of 0.5 or more are the offending spans.
@@ -28,61 +28,55 @@ SAMPLE = 1500
 #: Tokens of a training sequence, and gradient steps.
 LENGTH, STEPS = 120, 80
 THRESHOLD = 0.3
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”‘’«»„…–—¿¡"
 
 
-def features(token: str) -> list[str]:
+#: Lengths of the proper prefixes that are features, and how many features may mark toxic tokens.
+PREFIXES = (3, 4, 5, 6, 7, 8)
+MARKING = 1 + len(PREFIXES)
+
+
+def features(token: str) -> list[int]:
+    """Hashes of the word, its proper prefixes, and its suffix; the first MARKING may mark toxic tokens.
+
+    A prefix that is the whole word is no feature of its own: stems that offend only with an ending stay apart."""
     w = token.strip(_STRIP).lower() or token
-    return [f"w={w}", *(f"p{k}={w[:k]}" for k in (3, 4, 5, 6) if len(w) >= k), f"s4={w[-4:]}"]
+    whole = zlib.crc32(f"w={w}".encode())
+    return [whole, *(zlib.crc32(f"{k}={w[:k]}".encode()) if len(w) > k else whole for k in PREFIXES), zlib.crc32(f"s={w[-3:]}".encode())]
 
 
 def tokens(text: str | None) -> list[str]:
     return [w.decode() for w in (text or "").encode().split()]
 
 
-def _distinct(texts: list[list[str]]) -> list[int]:
-    """Of texts that share one of two smallest shingle hashes, the first: near copies count once."""
-    seen: set = set()
-    keep = []
-    for i, t in enumerate(texts):
-        grams = {" ".join(t[k : k + 6]).encode() for k in range(max(1, len(t) - 5))}
-        marks = {(s, min(zlib.crc32(g, s) for g in grams)) for s in (1, 2)}
-        if not marks & seen:
-            keep.append(i)
-        seen |= marks
-    return keep
+def _marks(words: list[str]) -> set:
+    """Two smallest shingle hashes, by which near copies are told."""
+    grams = {" ".join(words[k : k + 6]).encode() for k in range(max(1, len(words) - 5))}
+    return {(s, min(zlib.crc32(g, s) for g in grams)) for s in (1, 2)}
 
 
-def toxic_features(toxic: list[list[str]], plain: list[list[str]]) -> set[str]:
-    """Features of words and prefixes that are many times likelier in toxic documents."""
+def toxic_features(toxic: list[np.ndarray], plain: list[np.ndarray], n: int) -> np.ndarray:
+    """Which of n features mark toxic tokens; toxic, plain: the distinct marking features of each document. Those that
+    are in far more toxic documents than chance would put them in, and much likelier there than in plain ones."""
+    a, b = (np.bincount(np.concatenate(d), minlength=n).astype(float) for d in (toxic, plain))
+    share = len(toxic) / (len(toxic) + len(plain))
+    tested = max(1, int(((a + b >= 3) & (a > 0)).sum()))
+    r = a / np.maximum(a + b, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):  # the Chernoff bound, over all features tested
+        chance = (a + b) * (r * np.log(r / share) + np.where(b > 0, (1 - r) * np.log((1 - r) / (1 - share)), 0))
+    return (a >= 3) & (a / len(toxic) >= 8 * b / len(plain)) & (chance > np.log(tested / 0.05))
 
-    def frequency(docs: list[list[str]]) -> dict[str, int]:
-        n: dict[str, int] = {}
-        for d in docs:
-            for f in {f for w in set(d) for f in features(w) if f[0] != "s" and f[:2] != "p3"}:
-                n[f] = n.get(f, 0) + 1
-        return n
 
-    a, b = frequency(toxic), frequency(plain)
-    share = len(toxic) / (len(toxic) + len(plain))
-    tested = max(1, sum(n + b.get(f, 0) >= 3 for f, n in a.items()))
-    found = set()
-    for f, n in a.items():
-        m = b.get(f, 0)
-        if n >= 3 and n / len(toxic) >= 8 * m / len(plain):
-            r = n / (n + m)
-            # The Chernoff bound of so many toxic documents of n + m by chance, over all features tested
-            chance = (n + m) * (r * np.log(r / share) + ((1 - r) * np.log((1 - r) / (1 - share)) if m else 0))
-            if chance > np.log(tested / 0.05):
-                found.add(f)
-    return found
+def evidence(p: np.ndarray) -> list[float]:
+    """What the curve sees of a text's marginals: one, the largest, their sum, and the length."""
+    return [1.0, float(p.max()), float(np.log1p(p.sum())), float(np.log1p(len(p)))] if len(p) else [1.0, 0.0, 0.0, 0.0]
 
 
 class Field:
     """weights: by feature; bias, start: of toxic against plain; move: log potentials of (before, after)."""
 
-    def __init__(self, weights: dict[str, float], bias: float, start: float, move: np.ndarray, curve: tuple[float, ...]):
+    def __init__(self, weights: dict[int, float], bias: float, start: float, move: np.ndarray, curve: tuple[float, ...]):
         self.weights, self.bias, self.start, self.move, self.curve = weights, bias, start, move, curve
         self.known: dict[str, float] = {}
 
@@ -114,8 +108,7 @@ class Field:
         return [x for _, x in sorted(zip(order, np.split(p[place], np.cumsum(sizes)[:-1])), key=lambda x: x[0])]
 
     def score(self, p: np.ndarray) -> float:
-        a, b, c = self.curve
-        z = a + b * (p.max() if len(p) else 0.0) + c * np.log1p(p.sum() if len(p) else 0.0)
+        z = float(np.dot(self.curve, evidence(p)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -156,27 +149,35 @@ def forward_backward(e: np.ndarray, active: np.ndarray, first: np.ndarray, start
 
 def train(toxic: list[str | None], plain: list[str | None]) -> Field | float:
     """A field, or where either class is missing the share of toxic labels."""
-    docs = [tokens(t) for t in toxic], [tokens(t) for t in plain]
-    docs = tuple([d[i] for i in _distinct(d)] for d in docs)
+    words: dict[str, int] = {}
+    docs: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for some, texts in zip(docs, (toxic, plain)):
+        seen: set = set()
+        for t in texts:
+            said = tokens(t)
+            marks = _marks(said)
+            if not marks & seen:
+                some.append(np.fromiter((words.setdefault(w, len(words)) for w in said), np.int64, len(said)))
+            seen |= marks
     if not docs[0] or not docs[1]:
         return len(toxic) / max(1, len(toxic) + len(plain))
-    marked = toxic_features(*docs)
-    words: dict[str, int] = {}
+    hashed = np.array([features(w) for w in words], np.uint32).reshape(len(words), -1)
+    del words
+    names, of = np.unique(hashed, return_inverse=True)
+    of = of.reshape(hashed.shape)
+    if not len(names):
+        return len(docs[0]) / (len(docs[0]) + len(docs[1]))
+    distinct = [[np.unique(of[np.unique(d), :MARKING]) for d in some] for some in docs]
+    marked = toxic_features(*distinct, len(names))
+    toxic_word = marked[of[:, :MARKING]].any(1)
     rows, labels = [], []
-    for kind, some in ((1, docs[0]), (0, docs[1])):
+    for kind, some in ((True, docs[0]), (False, docs[1])):
         for d in some:
-            ids = np.array([words.setdefault(w, len(words)) for w in d], np.int64)
-            y = np.array([kind and any(f in marked for f in features(w)) for w in d], bool)
             for k in range(0, len(d), LENGTH):
-                rows.append(ids[k : k + LENGTH])
-                labels.append(y[k : k + LENGTH])
-    names: dict[str, int] = {}
-    at, of = [], []
-    for w, i in words.items():
-        for f in features(w):
-            at.append(i)
-            of.append(names.setdefault(f, len(names)))
-    at, of = np.array(at), np.array(of)
+                rows.append(d[k : k + LENGTH])
+                labels.append(toxic_word[rows[-1]] & kind)
+    at, of = np.repeat(np.arange(len(of)), of.shape[1]), of.ravel()
+    vocabulary = at[-1] + 1
     order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
     rows, labels = [rows[i] for i in order], [labels[i] for i in order]
     sizes = np.array([len(r) for r in rows])
@@ -190,27 +191,28 @@ def train(toxic: list[str | None], plain: list[str | None]) -> Field | float:
         a, b = y[first[k - 1] : first[k - 1] + active[k]], y[first[k] : first[k] + active[k]]
         gold += np.array([[(~a & ~b).sum(), (~a & b).sum()], [(a & ~b).sum(), (a & b).sum()]])
     x = np.r_[np.zeros(len(names)), -4.0, -4.0, np.zeros(4)]  # weights, bias, start, moves
-    got = np.bincount(word, y, len(words))
+    got = np.bincount(word, y, vocabulary)
     target = np.r_[np.bincount(of, got[at], len(names)), got.sum(), y[: active[0]].sum(), gold.ravel()]
     m, v = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, STEPS + 1):
-        scores = np.bincount(at, x[of], len(words)) + x[-6]
+        scores = np.bincount(at, x[of], vocabulary) + x[-6]
         p, pairs, _ = forward_backward(scores[word], active, first, x[-5], x[-4:].reshape(2, 2))
-        each = np.bincount(word, p, len(words))
+        each = np.bincount(word, p, vocabulary)
         grad = np.r_[np.bincount(of, each[at], len(names)), each.sum(), p[: active[0]].sum(), pairs.ravel()] - target + 0.02 * x
         m, v = 0.9 * m + 0.1 * grad, 0.98 * v + 0.02 * grad**2
         x -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-6)
-    weights = {f: float(x[i]) for f, i in names.items() if abs(x[i]) > 0.05}
-    field = Field(weights, float(x[-6]), float(x[-5]), x[-4:].reshape(2, 2), (0.0, 0.0, 0.0))
-    p = field.marginals([field.emissions(d) for some in docs for d in some])
-    z = np.array([[1.0, q.max() if len(q) else 0.0, np.log1p(q.sum())] for q in p])
+    kept = np.flatnonzero(np.abs(x[:-6]) > 0.05)
+    field = Field(dict(zip(names[kept].tolist(), x[kept].tolist())), float(x[-6]), float(x[-5]), x[-4:].reshape(2, 2), (0.0,) * 4)
+    x[:-6][np.abs(x[:-6]) <= 0.05] = 0
+    scores = np.bincount(at, x[of], vocabulary) + x[-6]
+    p = field.marginals([scores[d].tolist() for some in docs for d in some])
+    z = np.array([evidence(q) for q in p])
     truth = np.r_[np.ones(len(docs[0])), np.zeros(len(docs[1]))]
-    curve = np.zeros(3)
+    curve = np.zeros(z.shape[1])
     for _ in range(25):  # Newton steps of logistic regression
         q = 1 / (1 + np.exp(-np.clip(z @ curve, -30, 30)))
-        curve -= np.linalg.solve(z.T @ (z * (q * (1 - q))[:, None]) + 0.05 * np.eye(3), z.T @ (q - truth) + 0.05 * curve)
+        curve -= np.linalg.solve(z.T @ (z * (q * (1 - q))[:, None]) + 0.05 * np.eye(len(curve)), z.T @ (q - truth) + 0.05 * curve)
     field.curve = tuple(map(float, curve))
-    field.known = {}
     return field
 
 
