@@ -13,7 +13,7 @@ SECRETS = (
     ("api_key", r"\b(?:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{20,})\b"),
     ("url_credentials", r"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@"),
     ("bearer", r"\b[Bb]earer [A-Za-z0-9._~+/-]{16,}=*"),
-    ("credential", r"\b(?:password|passwd|token|secret|api_key)\s*[=:]\s*\"?[A-Za-z0-9_./+-]{8,}\"?"),
+    ("credential", r"\b(?:(?:password|passwd|token|api_key)\s*[=:]|secret\s*=)\s*\"?[A-Za-z0-9_./+-]{8,}\"?"),
 )
 
 
