@@ -100,17 +100,19 @@ def mix(docs: DataFrame) -> DataFrame:
 def remix(docs: DataFrame) -> DataFrame:
     """The mix itself: every row as often as it is taken, with its own columns; a row that is taken in part comes with
     its first words, spaced singly, once more. Rows without words are not taken."""
-    rows = sized(docs)
+    named = ("doc_id", "source", "text")
+    rest = [c for c in docs.columns if c not in named]
+    rows = sized(docs.select(*named, F.struct(F.lit(0).alias("_none"), *rest).alias("_others")))
     sizes = common.materialise(rows.select("doc_id", "source", "_size", "_key", "_one", "_two"), "sizes")
     taken = apply(rows, plan(sizes)).where("taken > 0")
     whole = F.floor(F.col("taken") / F.col("_size")).cast("int")
     part = F.col("taken") % F.col("_size")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     repeats = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    some = taken.withColumn("_part", F.explode(repeats)).withColumn("text", F.when(F.col("_part") > 0, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_part"), F.lit(1)).cast("int")), " ")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        some = some.withColumn("n_chars", F.when(F.col("_part") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return some.select(*docs.columns)
+    cut = F.col("_part") > 0
+    some = taken.withColumn("_part", F.explode(repeats)).withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_part"), F.lit(1)).cast("int")), " ")).otherwise(F.col("text")))
+    kept = lambda c: F.when(cut, F.length("text").cast("long")).otherwise(F.col("_others")[c]) if c == "n_chars" else F.col("_others")[c]
+    return some.select(*[F.col(c) if c in named else kept(c).alias(c) for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ row each. Offsets are code points, end exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
@@ -87,11 +88,18 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             found.append((m.start(), 2, m.end()))
         elif 7 <= digits <= 13:
             found.append((m.start(), 3, m.end()))
-    out, taken = [], [(a, b) for a, _, b in base]
+    out: list[tuple[int, int, int]] = []
+    ends, starts = [], []  # the base spans, overlapping ones as one
+    for a, _, b in base:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for a, kind, b in sorted(found):
-        if not any(a < y and x < b for x, y in taken):
+        k = bisect.bisect_right(ends, a)
+        if (k == len(ends) or b <= starts[k]) and (not out or out[-1][2] <= a):
             out.append((a, kind, b))
-            taken.append((a, b))
     return out
 
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.llm import common
@@ -189,7 +189,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
     twice = common.materialise(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")), "twice")
     if not twice.isEmpty():
-        ids = rows.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
+        again = rows.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi")
+        ids = again.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_nth = 1").drop("_nth")
         rows = rows.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(ids)
     return rows.unionByName(docs.where("doc_id is null"))
 
