@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstream import session
+from quillstream.functions import dates, facts
 from quillstream.functions import text as T
+from quillstream.operators import classify as K
+from quillstream.operators import curation as C
 from quillstream.operators import episodes as E
 from quillstream.operators import pages as P
 from quillstream.operators import retrieval as R
 from quillstream.sources import spool as S
+from quillstream.sources import wiki as W
+from quillstream.streaming import episodes as streaming
 
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -307,3 +313,92 @@ def evidence_and_median(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_id, json_extract_string(props, '$.k')::bigint as k, sha256(props) as props_hash from events")
 def payload_fields(spark: SparkSession, d: str) -> DataFrame:
     return tab(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.sha2("props", 256).alias("props_hash"))
+
+
+@query()
+def conditional_episodes(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.create_map(*[F.lit(x) for x in ("click", "tool_call", "view", "file_change", "purchase", "turn", "signup", "session_end", "error", "session_end")])
+    e = tab(spark, d, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("session_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), kinds[F.col("event_type")].alias("event_type"), F.when(F.col("event_type") == "error", "close").when(F.col("event_type") == "signup", "turn_end").alias("kind"), (E.micros(F.col("ts")) / 1e6).alias("ts"))
+    return streaming.episodes(rows, 4102444800.0).select("session_id", "episode_id", "closed_by", F.size("events").alias("n_events"), F.round("last_ts", 3).alias("last_ts"))
+
+
+@query()
+def typed_values(spark: SparkSession, d: str) -> DataFrame:
+    return facts.typed_values(tab(spark, d, "documents"), "doc_id", "text")
+
+
+@query("""select doc_id, t || ' (' || case doc_id % 5 when 0 then strftime(day - 1, '%Y-%m-%d') when 1 then strftime(day - 2, '%Y-%m-%d') when 2 then strftime(day - 3, '%Y-%m-%d')
+when 3 then strftime(day - 14, '%Y-%m-%d') else strftime(date_trunc('month', day) - interval 1 day, '%Y-%m') end || ') (stated ' || strftime(day, '%Y-%m-%d') || ')' as claim
+from (select doc_id, date '2024-03-11' + (7 * (doc_id % 9))::int as day, ['Met her yesterday', 'Kam vorgestern', 'Left last friday', 'Began two weeks ago', 'Paid last month'][(doc_id % 5 + 1)::int] as t from documents)""")
+def relative_dates(spark: SparkSession, d: str) -> DataFrame:
+    said = F.array(*map(F.lit, ("Met her yesterday", "Kam vorgestern", "Left last friday", "Began two weeks ago", "Paid last month")))
+    rows = tab(spark, d, "documents").select("doc_id", F.element_at(said, (F.col("doc_id") % 5 + 1).cast("int")).alias("t"), F.date_add(F.lit("2024-03-11").cast("date"), (7 * (F.col("doc_id") % 9)).cast("int")).alias("day"))
+    session.ship(spark)
+    return rows.select("doc_id", dates.annotated("t", "day").alias("claim"))
+
+
+def _services(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Claims about services on ports, and the pages that hold what was known."""
+    docs = tab(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("page_id"))
+    name = F.concat(F.lit("Service "), F.translate(F.col("page_id").cast("string"), "0123456789", "qwertzuiop"), F.lit("ab runs on port "))
+    claims = docs.where("doc_id < 120").select(F.col("doc_id").alias("claim_id"), "page_id", F.concat(name, (8000 + F.col("doc_id") % 3).cast("string"), F.lit(".")).alias("text"), F.lit("observed").alias("label"))
+    old = docs.where("doc_id < 40").select((F.col("doc_id") + 1000).alias("claim_id"), "page_id", F.concat(name, F.lit("8000.")).alias("text"), F.lit("observed").alias("label"))
+    dated = old.withColumns({"stated_on": F.lit("2024-01-01").cast("date"), "superseded_on": F.lit(None).cast("date"), "superseded_by": F.lit(None).cast("long")})
+    return claims, dated
+
+
+@query("select doc_id as claim_id, doc_id % 40 + 1000 as old_id, 'port' as slot, '8000' as old_value, (8000 + doc_id % 3)::varchar as new_value from documents where doc_id < 120 and doc_id % 3 <> 0")
+def contradiction_pairs(spark: SparkSession, d: str) -> DataFrame:
+    claims, old = _services(spark, d)
+    return C.contradictions(claims, old)
+
+
+@query("select doc_id as claim_id, doc_id % 40 as page_id from documents where doc_id < 120 and doc_id % 3 <> 0")
+def presence_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    claims, old = _services(spark, d)
+    return C.missing(claims, old).select("claim_id", "page_id")
+
+
+@query("""with n as (select doc_id, doc_id % 40 as page_id from documents where doc_id < 120 and doc_id % 3 <> 0), b as (select page_id, min(doc_id) as first from n group by page_id)
+select doc_id + 1000 as claim_id, date '2024-01-01' as stated_on, case when first is not null then date '2024-02-01' end as superseded_on, first as superseded_by from documents left join b on doc_id = page_id where doc_id < 40
+union all select doc_id, date '2024-02-01', null, null from n""")
+def scd2_supersede(spark: SparkSession, d: str) -> DataFrame:
+    claims, old = _services(spark, d)
+    return C.supersede(old, claims, "2024-02-01").select("claim_id", "stated_on", "superseded_on", "superseded_by")
+
+
+@query("""with u as (select *, row_number() over (partition by conv_id order by turn) as k from conversations where role = 'user')
+select conv_id::varchar as session_id, turn as id, case k % 4 when 1 then 'user_preference' when 3 then 'decision' when 2 then 'noise' else 'environment' end as type, k % 4 <> 2 as remember from u""")
+def rule_classify(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    said = F.array(*map(F.lit, ("Our box runs on port 8000 now.", "From now on I prefer short answers.", "thanks, what else?", "yes, do that")))
+    rows = tab(spark, d, "conversations").where("role = 'user'").withColumn("k", F.row_number().over(w))
+    turns = rows.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("id"), F.element_at(said, F.col("k") % 4 + 1).alias("user_text"), F.lit("I suggest we split it.").alias("assistant_text"), F.lit(False).alias("failed"), F.lit(False).alias("recovered"))
+    return K.classify(turns).select("session_id", "id", "type", "remember")
+
+
+@query()
+def page_units(spark: SparkSession, d: str) -> DataFrame:
+    return W.units(tab(spark, d, "documents"), "doc_id", "text").select("page_id", "ord", "text_hash")
+
+
+@query()
+def vector_sync(spark: SparkSession, d: str) -> DataFrame:
+    units = W.units(tab(spark, d, "benchmark").select("item_id", "text"), "item_id", "text")
+    half = W.sync(spark.createDataFrame([], "text_hash string, vec array<float>"), units.where("page_id % 2 = 0"))
+    return W.sync(half, units).select("page_id", "ord", F.size("vec").alias("dim"))
+
+
+@query("""select doc_id, case doc_id % 4 when 0 then '' when 1 then 'status is unknown' when 2 then 'updated before created' else 'type is missing' end as issues from documents""")
+def page_issues(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    raw = F.concat(F.lit("---\nid: p-"), F.col("doc_id").cast("string"), F.when(k == 3, "").otherwise("\ntype: note"), F.lit("\nstatus: "), F.when(k == 1, "odd").otherwise("active"), F.lit("\ncreated: 2024-01-02\nupdated: "), F.when(k == 2, "2024-01-01").otherwise("2024-01-03"), F.lit("\nconfidence: high\ntags: [a, b]\n---\nBody"))
+    pages = W.parse(tab(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), raw.alias("raw")))
+    return pages.select(F.col("path").cast("long").alias("doc_id"), F.array_join(W.issues(), "; ").alias("issues"))
+
+
+@query("select item_id as ord, case when item_id < 6 then 'duplicate' when sum(case when item_id >= 6 then len(text) + 3 else 0 end) over (order by item_id) + (select sum(len(text) + 3) from benchmark where item_id < 6) > 2200 then 'full' else 'added' end as status from benchmark")
+def profile_limits(spark: SparkSession, d: str) -> DataFrame:
+    items = tab(spark, d, "benchmark").select(F.lit("user").alias("target"), F.col("item_id").alias("ord"), F.col("text").alias("entry"))
+    return C.profile_add(items.where("ord < 6"), items, 2200).select("ord", "status")
