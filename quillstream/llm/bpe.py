@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quillstream.llm import common
 
 #: Characters of text in a chunk; a longer text is a chunk of its own.
-CHUNK_CHARS = 24 << 20
+CHUNK_CHARS = 16 << 20
 #: Words that an encoding task remembers at once.
 REMEMBERED = 250_000
 CODEC, LEVEL = "zstd", 12
@@ -50,31 +50,47 @@ def _unpack(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], decompressed_size=n, codec=CODEC, asbytes=True)
 
 
-def pack_ints(x: np.ndarray) -> bytes:
-    """Unsigned integers, seven bits a byte, the last byte of each below 128: small numbers are short."""
-    x = x.astype(np.uint64)
-    size = np.ones(len(x), np.int64)
+#: Numbers that are packed or unpacked at once; bounds what that needs besides the result.
+BLOCK = 1 << 19
+
+
+def _sevens(x: np.ndarray) -> bytes:
+    size = np.ones(len(x), np.uint8)
     for k in range(1, 5):
-        size += x >= (1 << 7 * k)
-    at = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint8)
+        size += x >= np.uint64(1 << 7 * k)
+    at = np.cumsum(size, dtype=np.int64) - size
+    out = np.zeros(int(size.sum(dtype=np.int64)), np.uint8)
     for k in range(5):
         some = size > k
-        out[at[some] + k] = ((x[some] >> np.uint64(7 * k)) & np.uint64(127)) | ((size[some] > k + 1) * np.uint64(128))
-    return _pack(out.tobytes())
+        if some.any():
+            out[at[some] + k] = ((x[some] >> np.uint32(7 * k)) & np.uint32(127)) | ((size[some] > k + 1) * np.uint32(128))
+    return out.tobytes()
+
+
+def pack_ints(x: np.ndarray, names: np.ndarray | None = None) -> bytes:
+    """Unsigned integers (names[x], if given), seven bits a byte, the last byte of each below 128: small ones are short."""
+    parts = [x[k : k + BLOCK] for k in range(0, len(x), BLOCK)]
+    return _pack(b"".join(_sevens((p if names is None else names[p]).astype(np.uint32)) for p in parts))
 
 
 def unpack_ints(blob: bytes) -> np.ndarray:
-    data = np.frombuffer(_unpack(blob), np.uint8)
-    last = np.flatnonzero(data < 128)
-    first = np.r_[0, last[:-1] + 1] if len(last) else last
-    out = np.zeros(len(last), np.uint32)
-    for k in range(5):
-        some = last - first >= k
-        if not some.any():
-            break
-        out[some] |= (data[first[some] + k].astype(np.uint32) & np.uint32(127)) << np.uint32(7 * k)
-    return out
+    data, out, start = np.frombuffer(_unpack(blob), np.uint8), [], 0
+    while start < len(data):
+        end = min(start + BLOCK, len(data))
+        while data[end - 1] >= 128:
+            end += 1
+        part = data[start:end]
+        last = np.flatnonzero(part < 128)
+        first = np.r_[0, last[:-1] + 1]
+        x = np.zeros(len(last), np.uint32)
+        for k in range(5):
+            some = last - first >= k
+            if not some.any():
+                break
+            x[some] |= (part[first[some] + k].astype(np.uint32) & np.uint32(127)) << np.uint32(7 * k)
+        out.append(x)
+        start = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 def pack_words(words: list[bytes]) -> bytes:
@@ -110,14 +126,18 @@ def _chunks(pattern: str, buckets: int):
                 return
             chunk, made = (part << 32) | made, made + 1
             seq = np.concatenate(seqs)
+            seqs = []
             count = np.bincount(seq, minlength=len(known))
             often = np.argsort(-count, kind="stable")  # frequent words get small numbers
             rank = np.empty(len(known), np.uint32)
             rank[often] = np.arange(len(known))
-            listed = list(known)
-            words = [listed[i].encode() for i in often.tolist()]
+            listed = [w.encode() for w in known]
+            known = {}
+            words = [listed[i] for i in often]
+            del listed
             at = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.uint32, len(words))
-            out = [(chunk, -1, ids, lengths, pack_ints(rank[seq]), pack_ints(at))]
+            out = [(chunk, -1, ids, lengths, pack_ints(seq, rank), pack_ints(at))]
+            del seq
             order = np.argsort(at, kind="stable")
             bounds = np.searchsorted(at[order], np.arange(buckets + 1))
             for b in range(buckets):
