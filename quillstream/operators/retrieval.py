@@ -14,8 +14,8 @@ RRF_K = 60
 
 def postings(pages: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf, n (words of the page). Counts are combined before the shuffle."""
-    words = T.words(F.col(text))
-    return pages.select(key, F.size(words).alias("n"), F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("n").alias("n"))
+    words = pages.select(key, T.words(F.col(text)).alias("_w"))
+    return words.select(key, F.size("_w").alias("n"), F.explode("_w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("n").alias("n"))
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -28,9 +28,9 @@ def idf(n: Column, df: Column) -> Column:
 
 def matched(queries: DataFrame, pages: DataFrame, key: str, text: str) -> DataFrame:
     """query_id, key, term, tf, n. Pages meet only the terms asked for: the query side is small and joined first."""
-    words = T.words(F.col(text))
+    words = pages.select(key, T.words(F.col(text)).alias("_w"))  # once a page: next to explode it would run once a word
     asked = terms_of(queries)
-    hits = pages.select(key, F.size(words).alias("n"), F.explode(words).alias("term")).join(asked, "term")
+    hits = words.select(key, F.size("_w").alias("n"), F.explode("_w").alias("term")).join(asked, "term")
     return hits.groupBy("query_id", key, "term").agg(F.count("*").alias("tf"), F.max("n").alias("n"))
 
 
