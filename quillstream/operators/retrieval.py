@@ -71,8 +71,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense(queries: DataFrame, units: DataFrame, page: str) -> DataFrame:
-    """query_id, page, unit, sim of every unit for a stated batch of query vectors (query_id, qvec)."""
-    return units.join(F.broadcast(queries.limit(10_000))).select("query_id", page, "unit", F.round(dot(F.col("vec"), F.col("qvec")), 6).alias("sim"))
+    """query_id, page, unit, sim of every unit for a stated batch of query vectors (query_id, qvec), all of them;
+    Spark broadcasts the batch where it is small and else works in blocks."""
+    return units.crossJoin(queries).select("query_id", page, "unit", F.round(dot(F.col("vec"), F.col("qvec")), 6).alias("sim"))
 
 
 def best_units(sims: DataFrame, page: str, k: int = 3) -> DataFrame:
