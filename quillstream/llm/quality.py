@@ -81,8 +81,9 @@ def measures(docs: DataFrame) -> DataFrame:
 
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """votes: a row per pattern, 1 good, -1 bad, 0 abstains. Prior of good, accuracies (2, rules): for good and bad
-    rows, and the posterior of good by pattern. Rules are taken to be right more often than not."""
-    prior, acc = 0.7, np.full((2, votes.shape[1]), 0.8)
+    rows, and the posterior of good by pattern. A rule seldom blames a good row, but a bad row need not break every rule:
+    a rule's accuracy on bad rows starts at a half and may fall to where a vote for bad says nothing."""
+    prior, acc = 0.7, np.repeat([[0.95], [0.5]], votes.shape[1], axis=1)
     good, bad, w = votes == 1, votes == -1, counts.astype(float)
     post, before = np.full(len(votes), prior), -np.inf
     for _ in range(ROUNDS):
@@ -97,7 +98,8 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray) -> tuple[flo
         prior = float(np.clip((w * post).sum() / max(w.sum(), 1), 0.05, 0.95))
         for k, p in enumerate((w * post, w * (1 - post))):
             right = (good if k == 0 else bad).T @ p
-            acc[k] = np.clip((right + 8) / ((good | bad).T @ p + 10), 0.55, 0.995)
+            prior_right = (9.5, 5.0)[k]
+            acc[k] = np.clip((right + prior_right) / ((good | bad).T @ p + 10), 0.55 if k == 0 else 1 - acc[0], 0.995)
     return prior, acc, post
 
 
