@@ -4,10 +4,14 @@ Pages are claim rows (page_id, claim_id, text, label, stated_on, superseded_on,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions import facts
+from quillstream import session
+from quillstream.functions import facts, updates
 from quillstream.functions import text as T
 
 PRESENT, SAME = 0.75, 0.6
@@ -83,3 +87,52 @@ def profile_add(entries: DataFrame, new: DataFrame, limit: int) -> DataFrame:
     size = F.when(F.col("_dup"), 0).otherwise(F.length("entry") + 3)
     upto = F.sum(size).over(Window.partitionBy("target").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("status", F.when(F.col("_dup"), "duplicate").when(F.coalesce("_used", F.lit(0)) + upto > limit, "full").otherwise("added")).select("target", "ord", "entry", "status")
+
+
+def changes(claims: DataFrame, bullets: DataFrame) -> DataFrame:
+    """claim_id, old_id, kind (retracted, value, shape), rewritten: how claims change live bullets of their page.
+
+    Pairs share the page and a token (every kind of change needs a shared word), so they are as many as a page's bullets
+    at most for each claim. Each pair is compared once; null texts change nothing."""
+    session.ship(claims.sparkSession)
+    word = lambda c: F.explode(F.array_distinct(T.tokens(F.col(c))))
+    live = bullets.where("superseded_on is null and text is not null")
+    told = live.select(F.col("page_id").alias("_p"), F.col("claim_id").alias("old_id"), word("text").alias("_t"))
+    said = claims.where("text is not null").select("page_id", "claim_id", word("text").alias("_w"))
+    pairs = said.join(told, (F.col("page_id") == F.col("_p")) & (F.col("_w") == F.col("_t"))).select("claim_id", "old_id").distinct()
+    texts = pairs.join(claims.select("claim_id", F.col("text").alias("_new")), "claim_id").join(live.select(F.col("claim_id").alias("old_id"), F.col("text").alias("_old")), "old_id")
+    return texts.select("claim_id", "old_id", "_new", "_old").mapInArrow(_changed, "claim_id long, old_id long, kind string, rewritten string")
+
+
+def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [(c, o, updates.change(new, old)) for c, o, new, old in zip(*(b.column(k).to_pylist() for k in range(4)))]
+        rows = [(c, o, *x) for c, o, x in found if x]
+        cols = list(zip(*rows)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["claim_id", "old_id", "kind", "rewritten"])
+
+
+#: Fixed value: entries on how someone wants to be served, which observations never replace.
+WISH = r"(?i)^\s*User preference \(own words\)|\b(?:prefers?|preference|wants?|likes?|dislikes?|hates?|always|never|don't|do not|please|style|tone|language|answers?|replies|responses?|enjoys?|loves?|favou?rites?|can't stand|cannot stand|a (?:big |huge )?fan of|avoids?|(?:doesn't|does not) care for)\b"
+
+
+def reconcile(entries: DataFrame, claims: DataFrame, limit: int) -> DataFrame:
+    """Profile entries (target, ord, entry, written_at) that claims (target, claim_id, text, seen_at) contradict, with a
+    status and the replacement: kept_newer if written after the claim was seen; removed if another entry of the
+    target says the new text already; full if all replacements up to it would pass the limit; else superseded.
+
+    Wishes stay. Of several claims the latest seen counts, then the largest id. Profiles are short by their limit."""
+    rows = entries.where(~F.coalesce("entry", F.lit("")).rlike(WISH)).withColumn("_id", F.xxhash64("target", "ord"))
+    old = rows.select(F.col("target").alias("page_id"), F.col("_id").alias("claim_id"), F.col("entry").alias("text"), F.lit(None).cast("date").alias("superseded_on"))
+    hits = changes(claims.select(F.col("target").alias("page_id"), "claim_id", "text"), old).where("kind <> 'shape'")
+    best = hits.join(claims.select("claim_id", "text", "seen_at"), "claim_id").groupBy("old_id").agg(F.max_by(F.struct("seen_at", F.coalesce("rewritten", "text").alias("new")), F.struct("seen_at", "claim_id")).alias("_b"))
+    at = rows.join(best, F.col("_id") == F.col("old_id")).select("target", "ord", "entry", "written_at", "_b.seen_at", F.col("_b.new").alias("replacement"))
+    known = entries.select(F.col("target").alias("_t"), F.col("ord").alias("_o"), T.normalize(F.col("entry")).alias("_e"))
+    twice = at.join(known, (F.col("target") == F.col("_t")) & (F.col("ord") != F.col("_o")) & (T.normalize(F.col("replacement")) == F.col("_e")), "left_semi").select("target", "ord").withColumn("_twice", F.lit(True))
+    used = entries.groupBy("target").agg(F.sum(F.coalesce(F.length("entry"), F.lit(0)) + 3).alias("_used"))
+    at = at.join(twice, ["target", "ord"], "left").join(used, "target")
+    newer, gone = F.coalesce(F.col("written_at") > F.col("seen_at"), F.lit(False)), F.coalesce("_twice", F.lit(False))
+    grown = F.when(newer, 0).when(gone, -F.length("entry") - 3).otherwise(F.length("replacement") - F.length("entry"))
+    upto = F.sum(grown).over(Window.partitionBy("target").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    status = F.when(newer, "kept_newer").when(gone, "removed").when(F.col("_used") + upto > limit, "full").otherwise("superseded")
+    return at.withColumn("status", status).select("target", "ord", "entry", "status", F.when(F.col("status") == "superseded", F.col("replacement")).alias("replacement"))

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream import session
-from quillstream.functions import dates, facts
+from quillstream.functions import commands, dates, facts
 from quillstream.functions import text as T
 from quillstream.operators import classify as K
 from quillstream.operators import curation as C
 from quillstream.operators import episodes as E
+from quillstream.operators import gate as G
 from quillstream.operators import pages as P
+from quillstream.operators import render
 from quillstream.operators import retrieval as R
 from quillstream.sources import spool as S
 from quillstream.sources import wiki as W
@@ -402,3 +404,42 @@ def page_issues(spark: SparkSession, d: str) -> DataFrame:
 def profile_limits(spark: SparkSession, d: str) -> DataFrame:
     items = tab(spark, d, "benchmark").select(F.lit("user").alias("target"), F.col("item_id").alias("ord"), F.col("text").alias("entry"))
     return C.profile_add(items.where("ord < 6"), items, 2200).select("ord", "status")
+
+
+@query("""select event_id, case event_id % 5 when 0 then 'Docker container web-' || user_id when 1 then 'CPU' when 2 then 'Listening ports' when 3 then 'systemd service sync@' || user_id else '' end as subject,
+ case event_id % 5 when 0 then 'docker' when 1 then 'cpu,hardware' when 2 then 'ports,network' when 3 then 'systemd' else '' end as tags from events""")
+def command_topics(spark: SparkSession, d: str) -> DataFrame:
+    who, k = F.col("user_id").cast("string"), F.col("event_id") % 5
+    run = F.when(k == 0, F.concat(F.lit("sudo docker logs web-"), who)).when(k == 1, "cat /proc/cpuinfo | head").when(k == 2, "env A=1 ss -ltn").when(k == 3, F.concat(F.lit("systemctl --user status sync@"), who)).otherwise("make all")
+    about = commands.topic(run)
+    return tab(spark, d, "events").select("event_id", about["subject"].alias("subject"), F.array_join(about["tags"], ",").alias("tags"))
+
+
+@query("""select doc_id as claim_id, doc_id % 40 + 1000 as old_id, 'value' as kind,
+ 'Service ' || translate((doc_id % 40)::varchar, '0123456789', 'qwertzuiop') || 'ab runs on port ' || (8000 + doc_id % 3) || '.' as rewritten from documents where doc_id < 120 and doc_id % 3 <> 0""")
+def claim_changes(spark: SparkSession, d: str) -> DataFrame:
+    return C.changes(*_services(spark, d))
+
+
+@query("""select doc_id, case doc_id % 4 when 0 then '' when 1 then 'thanks only' when 2 then 'questions only' else 'empty episode' end as skip from documents""")
+def gate_skips(spark: SparkSession, d: str) -> DataFrame:
+    text = F.element_at(F.array(F.lit("We moved it."), F.lit("Thanks!"), F.lit("How so? Why?"), F.lit(" ")), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = tab(spark, d, "documents").select("doc_id", text.alias("user_text"), F.when(F.col("doc_id") % 4 != 3, "ok").alias("assistant_text"), F.lit(0).alias("n_calls"), F.lit(0).alias("n_changes"))
+    return G.skip_reason(rows).select("doc_id", "skip")
+
+
+@query("""select doc_id as episode_id, 0 as candidate, 0 as ord, 'The nightly export takes ' || (doc_id % 90 + 10) || ' minutes' as text, 'user_stated' as evidence, 0.9::double as confidence from documents where doc_id % 2 = 0""")
+def grounded_claims(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id") % 90 + 10
+    docs = tab(spark, d, "documents").select(F.col("doc_id").alias("episode_id"), "doc_id", n.alias("n"))
+    claims = docs.select("episode_id", F.lit(0).alias("candidate"), F.lit(0).alias("ord"), F.concat(F.lit("The nightly export takes "), F.col("n").cast("string"), F.lit(" minutes")).alias("text"), F.lit("user_stated").alias("evidence"), F.lit(0.9).cast("double").alias("confidence"))
+    sources = docs.select("episode_id", F.lit("user_stated").alias("evidence"), F.concat(F.lit("our nightly exports took "), (F.col("n") + F.col("doc_id") % 2 * 100).cast("string"), F.lit("min or minutes")).alias("text"))
+    return G.checked(claims, sources)
+
+
+@query("""select doc_id, '# Page ' || doc_id || case when doc_id % 2 = 0 then chr(10) || chr(10) || '- Uses port 1. (noted 2024-01-02, inferred)' else '' end || chr(10) || chr(10) || '## Superseded' || chr(10) || '- Uses port 0. (noted 2024-01-01; superseded 2024-01-02)' as shown from documents""")
+def page_render(spark: SparkSession, d: str) -> DataFrame:
+    session.ship(spark)
+    fact = F.when(F.col("doc_id") % 2 == 0, "\n- Uses port 1. (stated 2024-01-02) (inferred)").otherwise("")
+    body = F.concat(F.lit("# Page "), F.col("doc_id").cast("string"), F.lit("\n"), fact, F.lit("\n- ~~Uses port 0. (stated 2024-01-01)~~ (observed; superseded 2024-01-02 by session:a)\n\n## Empty · session:b\n\n_Provenance: us, session:a_\n"))
+    return tab(spark, d, "documents").select("doc_id", render.rendered(body).alias("shown"))

@@ -6,12 +6,15 @@ all is flushed, and is pending otherwise. Order is the order of ids, never of ti
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillstream import session
 
@@ -99,3 +102,52 @@ def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], chec
     """Starts a query that hands each micro-batch to write(df, batch_id), which has to be idempotent in batch_id."""
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="2 seconds")).start()
+
+
+class Keeper(StatefulProcessor):
+    """Keeps the open groups of each session as state, and a timer at the time its newest group becomes idle."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "groups string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values("id").to_dict("records")
+        state = self._state()
+        done = [e for event in events for e in state.step({**event, "ts": event["ts"].timestamp()})]
+        self._keep(state)
+        yield self._frame(key, done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, state = expiredTimerInfo.getExpiryTimeInMs() / 1000, self._state()
+        ended = list(state.end(now, False))
+        state.open = [g for g, e in zip(state.open, ended) if e["closed_by"] == "pending"]
+        self._keep(state)
+        yield self._frame(key, [e for e in ended if e["closed_by"] == "idle"])
+
+    def _state(self) -> Sessions:
+        return Sessions(json.loads(self.open.get()[0]) if self.open.exists() else [])
+
+    def _keep(self, state: Sessions) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if not state.open:
+            self.open.clear()
+            return
+        self.open.update((json.dumps(state.open),))
+        self.handle.registerTimer(int((min(g["last"] for g in state.open) + IDLE) * 1000))
+
+    @staticmethod
+    def _frame(key, done: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame([{"session_id": key[0], **e} for e in done], columns=_OUT.names)
+
+
+def stream_episodes(stream: DataFrame, delay: str) -> DataFrame:
+    """A stream of events (session_id, id, event_type, kind, ts timestamp) as episodes, each when it completes.
+
+    Idle ones complete when the watermark, `delay` behind the newest event, passes IDLE after their last event; events
+    later than that are lost to them, so replay with episodes() is the reference. State holds the ids of open groups. Needs
+    the RocksDB state store and append mode. Within a batch order is that of ids."""
+    session.ship(stream.sparkSession)
+    rows = stream.select("session_id", "id", "event_type", F.coalesce("kind", F.lit("")).alias("kind"), "ts").withWatermark("ts", delay)
+    return rows.groupBy("session_id").transformWithStateInPandas(Keeper(), DDL, "append", "EventTime")
