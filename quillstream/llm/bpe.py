@@ -127,17 +127,22 @@ def _chunks(pattern: str, buckets: int):
             chunk, made = (part << 32) | made, made + 1
             seq = np.concatenate(seqs)
             seqs = []
-            count = np.bincount(seq, minlength=len(known))
-            often = np.argsort(-count, kind="stable")  # frequent words get small numbers
-            rank = np.empty(len(known), np.uint32)
-            rank[often] = np.arange(len(known))
+            count = np.bincount(seq, minlength=len(known)).tolist()
             listed = [w.encode() for w in known]
             known = {}
-            words = [listed[i] for i in often]
-            del listed
-            at = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.uint32, len(words))
-            out = [(chunk, -1, ids, lengths, pack_ints(seq, rank), pack_ints(at))]
+            of = [xxhash.xxh32_intdigest(w) % buckets for w in listed]
+            # frequent words get small numbers; those of a single use are 0, and listed in the order of their uses
+            often = sorted((i for i, n in enumerate(count) if n > 1), key=lambda i: (-count[i], of[i], listed[i]))
+            rank = np.zeros(len(listed), np.uint32)
+            rank[often] = np.arange(1, len(often) + 1)
+            positions = pack_ints(seq, rank)
             del seq
+            n_often = len(often)
+            often += [i for i, n in enumerate(count) if n == 1]
+            words = [listed[i] for i in often]
+            at = np.array([of[i] for i in often], np.uint32)
+            del listed, of, count, often
+            out = [(chunk, -1, ids, lengths, positions, pack_ints(np.r_[np.uint32(n_often), at]))]
             order = np.argsort(at, kind="stable")
             bounds = np.searchsorted(at[order], np.arange(buckets + 1))
             for b in range(buckets):
@@ -208,12 +213,17 @@ def _assemble(ranks_file, with_ids: bool):
                     coded[bucket] = (unpack_ints(blob), unpack_ints(places))
                     continue
                 of = unpack_ints(places)
+                n_often, of = int(of[0]), of[1:]
                 flat = np.concatenate([coded[k][0] for k in sorted(coded)]) if coded else np.zeros(0, "<u4")
                 counts = np.concatenate([coded[k][1] for k in sorted(coded)]).astype(np.int64) if coded else np.zeros(0, np.int64)
                 rank = np.empty(len(of), np.int64)
                 rank[np.argsort(of, kind="stable")] = np.arange(len(of))
                 n, first = counts[rank], (np.cumsum(counts) - counts)[rank]
                 seq, start, out = unpack_ints(blob), 0, []
+                once = seq == 0
+                seq -= np.uint32(1)
+                seq[once] = np.arange(n_often, len(of), dtype=np.uint32)
+                del once
                 for doc_id, length in zip(b.column(2)[r].as_py(), b.column(3)[r].as_py()):
                     s = seq[start : start + length]
                     start += length
