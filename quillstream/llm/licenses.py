@@ -1,13 +1,16 @@
 """Licence scans by sentence-rule recognition.
 
-Texts are split into sentences, each is normalised and looked up among known licence sentences, and the sequence of
-the identifiers found is matched against licence rules, which are ordered lists of identifiers that have to stand next
-to each other in it. Splitting, look-up and matching are row expressions: nothing is shuffled, and the known sentences
-are a fixed table of this module.
-
-A sentence ends at a line end, or at `.`, `!` or `?` before white space. Normalised, it is lower case (ASCII) with
-every run of other characters than letters and digits as one space. Sentences that a rule doesn't use still count as
-recognised. Null and empty texts have no sentences; null ids and repeated rows get a row each.
+Texts are split into pieces, runs of pieces are looked up among known licence sentences, and the sequence of the
+identifiers found is matched against licence rules, which are ordered lists of identifiers that have to stand next to
+each other in it. Splitting, look-up and matching are row expressions: nothing is shuffled, and the known sentences are
+a fixed table of this module.
+
+A piece ends at a line end, or at `.`, `!` or `?` before white space. Normalised, it is lower case (ASCII) with every
+run of other characters than letters and digits, so comment marks too, as one space. A known sentence is one piece or
+several that follow each other without a blank line (or one of marks only), so it may be wrapped anywhere; of those
+that start at a piece the longest counts. n_sentences counts pieces, as OP6_SQL does; OP6_SQL looks up single pieces
+only, and equals this where no known sentence is wrapped. Sentences that a rule doesn't use still count as recognised.
+Null and empty texts have no sentences; null ids and repeated rows get a row each.
 """
 
 from __future__ import annotations
@@ -89,19 +92,34 @@ RULES = [
 ]
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order, without empty ones."""
-    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[\x20\x09-\x0D]+", "$1\n"), "\n")
-    low = F.transform(cut, lambda s: F.btrim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " ")))
-    return F.filter(low, lambda s: s != "")
+_END, _BLANK = "\x01", "\x02"  # a sentence mark before white space, and a blank line
+
+
+def pieces(text: Column) -> Column:
+    """A text as normalised pieces, none empty: line ends between them, _BLANK where a blank line stood."""
+    out = F.translate(F.coalesce(text, F.lit("")), f"ABCDEFGHIJKLMNOPQRSTUVWXYZ{_END}{_BLANK}", "abcdefghijklmnopqrstuvwxyz  ")
+    for old, new in (
+        (r"[.!?][\x20\x09\x0B-\x0D]+", _END),
+        (r"[^a-z0-9\n\x01]+", " "),
+        (r" ?\x01[ \x01]*", _END),
+        (r" ?\n ?", "\n"),
+        (r"[\n\x01]*\n\x01?\n[\n\x01]*", _BLANK),
+        (r"[\n\x01]+", "\n"),
+        (r"^[\n\x02 ]+|[\n\x02 ]+\z", ""),
+    ):
+        out = F.regexp_replace(out, old, new)
+    return out
 
 
 def recognise(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list[tuple[list[str], str]] = RULES) -> DataFrame:
-    """doc_id, n_sentences, n_known (recognised sentences), sequence (their identifiers, comma-joined), licences (those
-    whose rule matches, by code point, comma-joined); a row per row of docs."""
+    """doc_id, n_sentences (pieces), n_known (recognised sentences), sequence (their identifiers, comma-joined), licences
+    (those whose rule matches, by code point, comma-joined); a row per row of docs."""
     table = F.create_map(*[F.lit(x) for name, s in known.items() for x in (s, name)])
-    said = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentences(F.col("text").cast("string")).alias("said"))
-    ids = said.select("doc_id", F.size("said").cast("long").alias("n_sentences"), F.filter(F.transform("said", lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull()).alias("ids"))
+    wrapped = "|".join(s.replace(" ", "[ \n]") for s in sorted(known.values(), key=len, reverse=True))
+    said = docs.select(F.col("doc_id").cast("long").alias("doc_id"), pieces(F.col("text").cast("string")).alias("said"))
+    found = F.regexp_extract_all("said", F.lit(rf"(?<![a-z0-9 ])(?:{wrapped})(?![a-z0-9 ])"), F.lit(0))
+    n = F.when(F.col("said") == "", 0).otherwise(F.size(F.split("said", r"[\n\x02]")))
+    ids = said.select("doc_id", n.cast("long").alias("n_sentences"), F.transform(found, lambda s: F.try_element_at(table, F.translate(s, "\n", " "))).alias("ids"))
     joined = ids.withColumn("sequence", F.array_join("ids", ","))
     inside = F.concat(F.lit(","), F.col("sequence"), F.lit(","))
     named = F.array_compact(F.array(*[F.when(F.contains(inside, F.lit(f",{','.join(names)},")), F.lit(licence)) for names, licence in rules]))
