@@ -5,8 +5,9 @@ of a mention are its lexical patterns; patterns and instances (normalised values
 confidence to and fro: a pattern is as good as the share of its uses that are followed by sure instances, an instance
 as sure as its patterns make it (noisy or). Candidates of sure patterns become spans of that pattern's kind.
 
-A use is any occurrence of a pattern's words in a text with a mention, so that words that stand everywhere prove
-nothing. Texts are read once; only mentions are shuffled. Null texts count as empty; null ids and repeated rows get a
+A use is any occurrence of a pattern's words in any text, so that words that stand everywhere prove nothing. Texts are
+read twice: for mentions, and to count the uses of the patterns with enough seeds, found by a filter of fixed size. Only
+mentions and counts are shuffled. Null texts count as empty; null ids and repeated rows get a
 row each. Offsets are code points, end exclusive.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,6 +28,8 @@ from quillstream.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SURE, SUPPORT, SALTS = 3, 0.5, 3, 16
+#: The filter of patterns' words has so many bits, in blocks of Spark's bitmaps; a task remembers so many words and counts.
+BITS, BLOCK, MOST = 1 << 25, 1 << 15, 1 << 17
 # Possessive forms of the contract's patterns: a run of digits is looked at once, so long runs take linear time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -111,24 +115,21 @@ def mentions(text: str, base: list, loose: list) -> list[dict]:
     """Base spans and candidates, each with a row per pattern: one and two words to its left."""
     if not base and not loose:
         return []
-    words = [_plain(w) for w in text.split()]
-    uses = Counter(words)
-    pairs = Counter(zip(words, words[1:]))
     out = []
     for known, spans in ((True, base), (False, loose)):
         for a, kind, b in spans:
             left = [_plain(w) for w in text[max(0, a - 80) : a].split()[-2:]]
             value = re.sub(r"\W", "", text[a:b]).lower()[:80]
-            shapes = [(left[-1], uses[left[-1]])] if left and left[-1] else []
+            shapes = [left[-1]] if left and left[-1] else []
             if len(left) == 2 and all(left):
-                shapes.append((" ".join(left), pairs[tuple(left)]))
-            out += [{"start": a, "kind": kind, "end": b, "base": known, "value": value, "pattern": f"{KINDS[kind]}:{p}", "uses": max(1, n)} for p, n in shapes]
+                shapes.append(" ".join(left))
+            out += [{"start": a, "kind": kind, "end": b, "base": known, "value": value, "pattern": f"{KINDS[kind]}:{p}"} for p in shapes]
     return out
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-_MENTION = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("base", pa.bool_()), ("value", pa.string()), ("pattern", pa.string()), ("uses", pa.int64())])
-_DDL = "doc_id long, text_hash long, base array<struct<start: long, kind: int, end: long>>, mentions array<struct<start: long, kind: int, end: long, base: boolean, value: string, pattern: string, uses: long>>, base_sha256 string"
+_MENTION = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("base", pa.bool_()), ("value", pa.string()), ("pattern", pa.string())])
+_DDL = "doc_id long, text_hash long, base array<struct<start: long, kind: int, end: long>>, mentions array<struct<start: long, kind: int, end: long, base: boolean, value: string, pattern: string>>, base_sha256 string"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +144,69 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bases, pa.list_(_SPAN)), pa.array(found, pa.list_(_MENTION)), pa.array(digests)], names=["doc_id", "text_hash", "base", "mentions", "base_sha256"])
 
 
-def sure_patterns(found: DataFrame) -> DataFrame:
-    """found (value, pattern, base, uses): the patterns that ROUNDS of scoring leave at SURE or more."""
-    edges = common.materialise(found.groupBy("pattern", "value").agg(F.max("base").alias("base"), F.count("*").alias("hits"), F.sum("uses").alias("uses")), "pii-edges")
+class _Plain(dict):
+    """Words as _plain gives them."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= MOST:
+            self.clear()
+        out = self[word] = _plain(word)
+        return out
+
+
+def _counted(held):
+    """Sums of the occurrences of one and two words that are in the filter, or seem to be, by crc32."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, plain, total = held.value, _Plain(), Counter()
+        none = bytes(BLOCK // 8)
+
+        def inside(words: str) -> bool:
+            block, bit = divmod(zlib.crc32(words.encode()) % BITS, BLOCK)
+            return blocks.get(block, none)[bit >> 3] >> (bit & 7) & 1 == 1
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["words", "uses"])
+            total.clear()
+            return out
+
+        for b in common.pieces(batches, "text"):
+            for text in common.col(b, "text"):
+                words = [plain[w] for w in (text or "").split()]
+                uses = {w: n for w, n in Counter(words).items() if w and inside(w)}
+                # The second word of a pattern is a pattern too, of the same mentions.
+                pairs = Counter((x, y) for x, y in zip(words, words[1:]) if x and y in uses)
+                total.update(uses)
+                total.update({p: n for (x, y), n in pairs.items() if inside(p := f"{x} {y}")})
+                if len(total) >= MOST:
+                    yield flush()
+        yield flush()
+
+    return run
+
+
+def count_uses(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """words, uses: how often each of `words` occurs in all texts."""
+    at = F.crc32(F.col("words").cast("binary")) % BITS
+    bits = words.select((at / BLOCK).cast("int").alias("block"), (at % BLOCK).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    held = words.sparkSession.sparkContext.broadcast({r.block: bytes(r.bits) for r in bits.collect()})  # BITS / 8 bytes at most
+    found = common.arrow_map(texts.select(F.col("text").cast("string").alias("text")), _counted(held), "words string, uses long")
+    return found.groupBy("words").agg(F.sum("uses").alias("uses"))
+
+
+def sure_patterns(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """found (value, pattern, base): the patterns that ROUNDS of scoring leave at SURE or more."""
+    edges = common.materialise(found.groupBy("pattern", "value").agg(F.max("base").alias("base"), F.count("*").alias("hits")), "pii-edges")
+    seeded = edges.groupBy("pattern").agg(F.sum("hits").alias("all_hits"), F.count_if("base").alias("support")).where(f"support >= {SUPPORT}")
+    seeded = common.materialise(seeded.select("pattern", "all_hits", F.substring_index("pattern", ":", 1).alias("kind"), F.expr("substring(pattern, instr(pattern, ':') + 1)").alias("words")), "pii-seeded")
+    uses = count_uses(seeded.select("words").distinct(), texts).withColumnRenamed("words", "_words")
+    # Words cut short, or with signs before the mention, have fewer whole uses than hits.
+    seeded = common.materialise(seeded.join(uses, F.col("words") == F.col("_words"), "left").select("pattern", F.greatest(F.coalesce("uses", F.lit(0)), "all_hits").alias("uses")), "pii-uses")
     sure = F.when(F.col("base"), 1.0).otherwise(F.coalesce(F.col("conf"), F.lit(0.0)))
     now = edges.withColumn("conf", F.lit(0.0))
     for k in range(ROUNDS):
-        share = F.sum(sure * F.col("hits")) / (F.sum(F.greatest("uses", "hits")) + 1)
-        patterns = now.groupBy("pattern").agg(share.alias("score"), F.count_if("base").alias("support")).where(f"support >= {SUPPORT}")
+        known = now.groupBy("pattern").agg(F.sum(sure * F.col("hits")).alias("known")).withColumnRenamed("pattern", "_pattern")
+        patterns = seeded.join(known, F.col("pattern") == F.col("_pattern")).select("pattern", (F.col("known") / (F.col("uses") + 1)).alias("score"))
         patterns = common.materialise(patterns, "pii-patterns")
         if k + 1 < ROUNDS:
             scored = common.salted_left_join(edges, patterns, "pattern", SALTS, F.col("value"))
@@ -165,7 +221,7 @@ def find(docs: DataFrame) -> DataFrame:
     scanned = common.arrow_map(rows, _scan, _DDL).withColumn("row", F.monotonically_increasing_id())
     scanned = common.materialise(scanned, "pii")
     each = scanned.where(F.size("mentions") > 0).select("row", F.inline("mentions"))
-    sure = sure_patterns(each.select("value", "pattern", "base", "uses"))
+    sure = sure_patterns(each.select("value", "pattern", "base"), rows)
     hits = common.salted_left_join(each.where("not base").select("row", "start", "kind", "end", "pattern"), sure, "pattern", SALTS, F.col("row")).where("score is not null")
     added = hits.groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added")).withColumnRenamed("row", "_row")  # spans of one text
     none = F.array().cast("array<struct<start: bigint, kind: int, end: bigint>>")
