@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one per shard.
 
-Distinct vectors are dealt to shards of about SHARD_ROWS by a hash. In a shard, points join the graph in batches: a
+Distinct vectors are dealt to shards by a hash: SPREAD of them, fewer where they would fall under SHARD_LEAST vectors,
+more only where they would pass SHARD_ROWS vectors or SHARD_BYTES, so that a search meets few shards. In a shard, points join the graph in batches: a
 greedy search from the medoid proposes neighbours, and pruning keeps a candidate only where no kept neighbour is nearer
 to it by the factor ALPHA, which leaves few but diverse edges; backward edges are added and pruned alike. Beam search
 answers queries on every shard, and the best of all shards are ranked by cosine in double precision on the original
@@ -8,7 +9,9 @@ vectors. The index is a table of one row per vector: shard, ids, vector and edge
 
 Exact copies are one vector with its TOP + 1 smallest ids, found before the shuffle. Vectors that are null or zero, or
 hold null or non-finite components, and rows without an id take no part; vectors of other lengths are other shards and
-never meet. A query's own id is no candidate, also on repeated rows. Ties go to the smaller vec_id.
+never meet. A query's own id is no candidate, also on repeated rows. Ties go to the smaller vec_id. One vec_id with two
+vectors is two points and two queries, whose results are ranked together, the better score of a neighbour counting. An
+empty table gives no rows; columns but vec_id and the vector are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +25,12 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import common
 
-SHARD_ROWS, DEGREE, BUILD_BEAM, BEAM, ALPHA, TOP = 4096, 40, 72, 160, 1.2, 5
+SPREAD, SHARD_LEAST, SHARD_ROWS, SHARD_BYTES = 16, 4096, 1 << 17, 1 << 26
+DEGREE, BUILD_BEAM, BEAM, ALPHA, TOP = 32, 56, 112, 1.2, 5
 #: Points that join at once, nodes that a search opens at once, queries searched at once.
 BATCH, WIDTH, QUERIES = 256, 4, 256
+#: Shards whose list is broadcast.
+FEW = 10_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -140,27 +146,41 @@ def _vectors(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _index_shard(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    rows = rows.combine_chunks().sort_by("ids_key")
-    x = _vectors(pa.concat_arrays(rows.column("vector").chunks))
-    g = Graph(unit(x))
-    return pa.table({"shard": pa.array(np.full(len(x), key[0].as_py(), np.int32)), "node": pa.array(np.arange(len(x), dtype=np.int32)), "ids": rows.column("ids"), "vector": rows.column("vector"), "edges": pa.array(list(g.edges), pa.list_(pa.int32()))})
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition is a shard (shard, ids, vector, ids_key)."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    rows = pa.Table.from_batches(parts).sort_by([("shard", "ascending"), ("ids_key", "ascending")]).combine_chunks()
+    shards = rows.column("shard").to_numpy()
+    cuts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1], True])
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        some = rows.slice(i, j - i)
+        edges = Graph(unit(_vectors(pa.concat_arrays(some.column("vector").chunks)))).edges
+        for k in range(0, j - i, 8192):
+            part = some.slice(k, 8192).combine_chunks()
+            n = part.num_rows
+            columns = [pa.array(np.full(n, shards[i], np.int32)), pa.array(np.arange(k, k + n, dtype=np.int32)), part.column("ids").chunk(0), part.column("vector").chunk(0), pa.array(list(edges[k : k + n]), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "node", "ids", "vector", "edges"])
+
+
+def n_shards(n: int, dim: int, most: int = SHARD_ROWS) -> int:
+    """Shards for n vectors of a length."""
+    return max(-(-n // min(most, max(1, SHARD_BYTES // (4 * max(1, dim))))), min(SPREAD, -(-n // SHARD_LEAST)), 1)
 
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """vectors: of usable(). The index table, written to the shared folder; a shard holds about shard_rows vectors."""
+    """vectors: of usable(). The index table, written to the shared folder; a shard holds about shard_rows vectors at most."""
     ranked = vectors.distinct().withColumn("key", F.xxhash64("vector")).withColumn("k", F.row_number().over(Window.partitionBy("key", "vector").orderBy("vec_id"))).where(F.col("k") <= TOP + 1)
     each = common.materialise(ranked.groupBy("key", "vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")  # TOP + 1 ids at most
     sizes = {r[0]: r[1] for r in each.groupBy(F.size("vector")).count().collect()}
     shards, first = F.lit(0), 0
     for dim in sorted(sizes):
-        n = max(1, round(sizes[dim] / shard_rows))
+        n = n_shards(sizes[dim], dim, shard_rows)
         shards = F.when(F.size("vector") == dim, F.lit(first) + F.pmod("key", F.lit(n))).otherwise(shards)
         first += n
-    dealt = each.withColumn("shard", shards.cast("int")).withColumn("ids_key", F.element_at("ids", 1))
-    common.session.ship(vectors.sparkSession)
-    made = dealt.select("shard", "ids", "vector", "ids_key").groupBy("shard").applyInArrow(_index_shard, _INDEX)
-    return common.materialise(made, "graph")
+    dealt = each.select(shards.cast("int").alias("shard"), "ids", "vector", F.element_at("ids", 1).alias("ids_key"))
+    return common.materialise(common.arrow_map(dealt.repartitionById(max(1, first), "shard"), _index, _INDEX), "graph")
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +216,12 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     own_big = np.abs(own).max(1, keepdims=True)
                     a, c = v / big, own / own_big
                     cos = (c * a).sum(1) / (np.sqrt((a * a).sum()) * np.sqrt((c * c).sum(1)))
-                    rows += sorted(((-s, i, n) for s, at in zip(cos.tolist(), f.tolist()) for i in ids[at] if i != n))[:TOP]
+                    nearest: dict[int, float] = {}  # an id with several vectors counts once
+                    for sim, at in sorted(zip((-cos).tolist(), f.tolist())):
+                        for i in ids[at]:
+                            if i != n:
+                                nearest.setdefault(i, sim)
+                    rows += sorted((sim, i, n) for i, sim in nearest.items())[:TOP]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([-r[0] for r in rows], pa.float64())], names=["query_id", "vec_id", "score"])
 
@@ -204,19 +229,15 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def search(index: DataFrame, queries: DataFrame) -> DataFrame:
     """queries: of usable(). query_id, rank, vec_id, score of the TOP nearest found in all shards."""
     shards = index.select("shard", F.size("vector").alias("dim")).distinct()
-    asked = queries.distinct().join(F.broadcast(shards) if _few(shards) else shards, F.size("vector") == F.col("dim"))
+    n = 1 + (index.agg(F.max("shard")).first()[0] or 0)
+    asked = queries.distinct().join(F.broadcast(shards) if n <= FEW else shards, F.size("vector") == F.col("dim"))  # a row a shard
     asked = asked.select("shard", F.lit(-1).alias("node"), F.array("vec_id").alias("ids"), "vector", F.lit(None).cast("array<int>").alias("edges"))
-    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = index.unionByName(asked).repartition(n, "shard").sortWithinPartitions("shard", F.col("node") < 0, "node")
+    both = index.unionByName(asked).repartitionById(n, "shard").sortWithinPartitions("shard", F.col("node") < 0, "node")
     found = common.arrow_map(both, _search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= TOP).select("query_id", "rank", "vec_id", "score")
 
 
-def _few(shards: DataFrame, most: int = 10_000) -> bool:
-    return shards.limit(most + 1).count() <= most
-
-
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = usable(common.table(spark, sf_dir, "embeddings"), "embedding")
     return search(build_index(rows), rows.where("vec_id % 50 = 0"))

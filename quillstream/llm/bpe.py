@@ -1,18 +1,24 @@
 """Byte-level BPE by a global distinct-word shuffle.
 
-Pre-tokens are first combined within chunks of a partition: a chunk keeps its distinct words once, and each text as
-positions in that list. Only the distinct words travel, packed by a hash of the word, to the task that encodes each
-of them once; their ids come back by chunk, texts are put together by position, and ids are decoded by the table of
-token bytes. No text is shuffled, and a word that is in every text is sent once a chunk.
-
-Null texts count as empty, an empty text has no tokens; repeated rows and null ids give a row each. Other columns are
-ignored.
+Pre-tokens are combined within chunks of a partition first, as a map-side combine does: a chunk keeps its distinct words
+once, and each text as positions in that list. Only the distinct words travel, packed by a hash of the word. A task gets
+all that chunks hold of a hash bucket, so it encodes every distinct word of the corpus exactly once; ids come back by
+chunk, and texts are put together by position. Decoding joins the table of token bytes, which is fixed and so broadcast,
+in the task that has the ids; decode() is the same join over exploded ids. No text is shuffled, and a word that is in
+every text is sent once a chunk.
+
+The numbers of buckets and partitions follow the bytes of text. A bucket's words have to fit a task's memory: they are
+the distinct words of a corpus of `chunks` chunks (about chunks ** GROWTH times those of one) over that many buckets.
+
+Null texts count as empty, an empty text has no tokens, an empty table gives no rows; repeated rows and null ids give a
+row each; a text longer than a chunk is a chunk of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +31,8 @@ from quillstream.llm import common
 
 #: Characters of text in a chunk; a longer text is a chunk of its own.
 CHUNK_CHARS = 16 << 20
-#: Words that an encoding task remembers at once.
-REMEMBERED = 250_000
+#: Buckets for a corpus of one chunk, and the power of the number of chunks by which distinct words grow (Heaps' law).
+BUCKETS, GROWTH = 8, 0.6
 CODEC, LEVEL = "zstd", 12
 
 
@@ -168,22 +174,24 @@ def _chunks(pattern: str, buckets: int):
 
 
 def _encode(ranks_file, pattern: str):
+    """Rows come by bucket; its distinct words are encoded once, whatever chunks they are from."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks_of(ranks_file.value), special_tokens={})._core_bpe.encode_single_piece
-        seen: dict[bytes, list[int]] = {}
+        at, coded = None, {}
         for b in batches:
             rows = []
             for chunk, bucket, blob in zip(common.col(b, "chunk"), common.col(b, "bucket"), common.col(b, "blob")):
+                if bucket != at:
+                    at, coded = bucket, {}
                 ids: list[int] = []
                 counts: list[int] = []
                 for w in unpack_words(blob):
-                    x = seen.get(w)
+                    x = coded.get(w)
                     if x is None:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        x = seen[w] = encode(w)
+                        x = coded[w] = encode(w)
                     ids += x
                     counts.append(len(x))
                 rows.append((chunk, bucket, None, None, pack_ints(np.array(ids, "<u4")), pack_ints(np.array(counts, "<u4"))))
@@ -259,13 +267,33 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     path, pattern = vocabulary or path, pattern or default_pattern
     with open(path, "rb") as f:
         ranks_file = spark.sparkContext.broadcast(f.read())  # a fixed vocabulary, under 1 MB
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made = common.materialise(common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _chunks(pattern, buckets), _DDL), "bpe")
-    words = made.where("bucket >= 0").select("chunk", "bucket", "blob").repartition(buckets, "bucket")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chunks = max(1.0, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / CHUNK_CHARS)
+    buckets = math.ceil(BUCKETS * chunks**GROWTH)
+    made = common.materialise(common.arrow_map(rows, _chunks(pattern, buckets), _DDL), "bpe")
+    words = made.where("bucket >= 0").select("chunk", "bucket", "blob").repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
     coded = common.arrow_map(words, _encode(ranks_file, pattern), _DDL)
-    both = coded.unionByName(made.where("bucket < 0")).repartition(buckets, "chunk").sortWithinPartitions("chunk", F.col("bucket") < 0, "bucket")
+    parts = max(math.ceil(2 * chunks), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = coded.unionByName(made.where("bucket < 0")).repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("bucket") < 0, "bucket")
     return common.arrow_map(both, _assemble(ranks_file, with_ids), _OUT + (", ids array<int>, decoded string" if with_ids else ""))
 
 
+def token_bytes(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
+    """id int, piece binary: a row per token of the rank file."""
+    with open(vocabulary or default_vocabulary()[0], "rb") as f:
+        return spark.createDataFrame([(i, bytearray(p)) for p, i in ranks_of(f.read()).items()], "id int, piece binary")
+
+
+def decode(encoded: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Adds decoded binary to rows with ids array<int>: exploded ids join the token bytes, which go back by position.
+
+    Ids that are not in the table give no bytes; null ids give empty bytes. Repeated rows get their own."""
+    rows = common.materialise(encoded.withColumn("_row", F.monotonically_increasing_id()), "encoded")
+    each = rows.select("_row", F.posexplode("ids").alias("_at", "_id")).join(F.broadcast(tokens), F.col("_id") == F.col("id"))  # a fixed vocabulary
+    said = each.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", F.hex("piece").alias("_hex")))).alias("_said"))  # the tokens of one text
+    said = said.select(F.col("_row").alias("_of"), F.unhex(F.array_join("_said._hex", "")).alias("decoded"))
+    return rows.drop("decoded").join(said, F.col("_row") == F.col("_of"), "left").select(*[c for c in encoded.columns if c != "decoded"], F.coalesce("decoded", F.lit(bytearray())).alias("decoded"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(common.table(spark, sf_dir, "documents"))

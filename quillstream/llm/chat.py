@@ -7,7 +7,8 @@ the smaller leaf, and each becomes one conversation. The template marks turns wi
 or role is broken by a backslash after its first character, and a backslash is doubled, which reads back exactly.
 
 A message whose parent is null or missing is a root; messages on a cycle have no root and are in no path. Null roles
-and texts count as empty, null scores as 0, a null tree_id is a tree, rows without a msg_id are dropped. Flat
+and texts count as empty, null scores as 0, a null tree_id is a tree, rows without a msg_id are dropped, and of rows of
+one tree and msg_id one counts (the least). A thread that leads into a cycle is in no path either. Flat
 conversations become chains by turn, null first, ties by role and text; repeated rows are turns of their own.
 """
 
@@ -56,32 +57,42 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
+def once(messages: DataFrame) -> DataFrame:
+    """Messages with an id, one row each: of rows of one tree and id the least by parent, role, text and score counts."""
+    kept = F.min(F.struct("parent_id", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))).alias("_m")
+    return messages.where("msg_id is not null").groupBy("tree_id", "msg_id").agg(kept).select("tree_id", "msg_id", "_m.*")
+
+
 def paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
-    """tree_id, leaf_id, msg_id, depth (from 0 at the root) of the `top` best branches of each tree (None: all)."""
-    ids = messages.where("msg_id is not null").select("tree_id", "msg_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).dropDuplicates(["tree_id", "msg_id"])
-    ids = common.materialise(ids, "messages")
+    """tree_id, leaf_id, branch, branch_score, msg_id, depth (from 0 at the root) of the `top` best branches of each tree
+    (None: all). Score sums are carried along the doubled pointers, so that only chosen branches are written out."""
+    ids = common.materialise(once(messages).select("tree_id", "msg_id", "parent_id", "score"), "messages")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     known = ids.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"))
-    up = common.materialise(ids.join(known, same("tree_id", "t") & (F.col("parent_id") == F.col("m")), "inner").select("tree_id", "msg_id", F.col("m").alias("to")), "up")
+    up = common.materialise(ids.join(known, same("tree_id", "t") & (F.col("parent_id") == F.col("m")), "inner").select("tree_id", "msg_id", F.col("m").alias("to"), F.col("score").alias("sum")), "up")
     leaves = ids.join(up.select(F.col("tree_id").alias("t"), F.col("to").alias("p")).distinct(), same("tree_id", "t") & (F.col("msg_id") == F.col("p")), "left_anti").select("tree_id", "msg_id")
     jumps, n = [up], ids.count()
     while len(jumps) <= n.bit_length():  # longer ways than messages are cycles
         a = jumps[-1]
-        b = a.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("via"), F.col("to").alias("far"))
-        a = common.materialise(a.join(b, same("tree_id", "t") & (F.col("to") == F.col("via"))).select("tree_id", "msg_id", F.col("far").alias("to")), "up")
+        b = a.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("via"), F.col("to").alias("far"), F.col("sum").alias("more"))
+        a = common.materialise(a.join(b, same("tree_id", "t") & (F.col("to") == F.col("via"))).select("tree_id", "msg_id", F.col("far").alias("to"), (F.col("sum") + F.col("more")).alias("sum")), "up")
         if a.isEmpty():
             break
         jumps.append(a)
-    way = leaves.select("tree_id", F.col("msg_id").alias("leaf_id"), "msg_id", F.lit(0).cast("long").alias("up"))
+    via = lambda k: jumps[k].select(F.col("tree_id").alias("t"), F.col("msg_id").alias("via"), "to", F.col("sum").alias("more"))
+    ends = leaves.select("tree_id", F.col("msg_id").alias("leaf_id"), F.col("msg_id").alias("at"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("up"))
+    for k in range(len(jumps) - 1, -1, -1):  # at most one jump of each length leads to the root
+        far = ends.join(via(k), same("tree_id", "t") & (F.col("at") == F.col("via")), "left")
+        ends = far.select("tree_id", "leaf_id", F.coalesce("to", "at").alias("at"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("up") + F.when(F.col("to").isNotNull(), 1 << k).otherwise(0)).alias("up"))
+    roots = ids.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "score").join(up.select(F.col("tree_id").alias("ut"), F.col("msg_id").alias("um")), F.col("t").eqNullSafe(F.col("ut")) & (F.col("m") == F.col("um")), "left_anti")
+    each = ends.join(roots, same("tree_id", "t") & (F.col("at") == F.col("m"))).select("tree_id", "leaf_id", F.col("up").alias("length"), ((F.col("total") + F.col("score")) / (F.col("up") + 1)).alias("branch_score"))
+    rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("branch_score"), "leaf_id"))
+    best = each.withColumn("branch", rank).where(F.lit(True) if top is None else F.col("branch") <= top)
+    way = common.materialise(best.select("*", F.col("leaf_id").alias("msg_id"), F.col("length").alias("depth")), "paths")
     for k in range(len(jumps) - 1, -1, -1):
-        j = jumps[k].select(F.col("tree_id").alias("t"), F.col("msg_id").alias("via"), "to")
-        more = way.join(j, same("tree_id", "t") & (F.col("msg_id") == F.col("via"))).select("tree_id", "leaf_id", F.col("to").alias("msg_id"), (F.col("up") + (1 << k)).alias("up"))
+        more = way.join(via(k), same("tree_id", "t") & (F.col("msg_id") == F.col("via"))).select(*[c for c in way.columns if c not in ("msg_id", "depth")], F.col("to").alias("msg_id"), (F.col("depth") - (1 << k)).alias("depth"))
         way = common.materialise(way.unionByName(more), "paths")
-    scores = ids.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "score")
-    each = way.join(scores, same("tree_id", "t") & (F.col("msg_id") == F.col("m"))).groupBy("tree_id", "leaf_id").agg(F.avg("score").alias("branch_score"), F.max("up").alias("length"))
-    rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("branch_score"), "leaf_id"))
-    best = each.withColumn("branch", rank).where(F.lit(True) if top is None else F.col("branch") <= top).select(F.col("tree_id").alias("t"), F.col("leaf_id").alias("l"), "branch_score", "branch", "length")
-    return way.join(best, same("tree_id", "t") & (F.col("leaf_id") == F.col("l"))).select("tree_id", "leaf_id", "branch", "branch_score", "msg_id", (F.col("length") - F.col("up")).alias("depth"))
+    return way.select("tree_id", "leaf_id", "branch", "branch_score", "msg_id", "depth")
 
 
 _OUT = pa.schema([("tree_id", pa.int64()), ("leaf_id", pa.int64()), ("branch", pa.int32()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
@@ -120,7 +131,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_trees(messages: DataFrame, top: int | None = 1) -> DataFrame:
     """tree_id, leaf_id, branch, formatted, loss_spans array<struct<start,end>>: a row per chosen branch."""
     messages = common.materialise(messages.select("tree_id", "msg_id", "parent_id", "role", "text", "score"), "messages")
-    words = messages.where("msg_id is not null").dropDuplicates(["tree_id", "msg_id"]).select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "role", "text")
+    words = once(messages).select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), "role", "text")
     rows = paths(messages, top).join(words, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("msg_id") == F.col("m"))).select("tree_id", "leaf_id", "branch", "role", "text", "depth")
     rows = rows.repartition("tree_id", "leaf_id").sortWithinPartitions("tree_id", "leaf_id", "depth").drop("depth")
     return common.arrow_map(rows, _format, "tree_id long, leaf_id long, branch int, formatted string, loss_spans array<struct<start: long, end: long>>")

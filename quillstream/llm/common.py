@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import re
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -26,12 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors see. Where it is unset, a local session gets a folder of
+    its own, and a cluster is refused: its executors would each write to their own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="quillstream-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return f"file://{_own_dir[0]}"
 
 
@@ -44,10 +53,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Deletes the tables that materialise() wrote; only once no result that reads them is needed."""
-    while _tables:
-        spark, path = _tables.pop()
+def written() -> int:
+    """How many tables materialise() has written that are still there."""
+    return len(_tables)
+
+
+def release(since: int = 0, until: int | None = None) -> None:
+    """Deletes the tables that materialise() wrote, by their number in the order of writing; only once no result that
+    reads them is needed."""
+    gone = _tables[since:until]
+    del _tables[since:until]
+    for spark, path in gone:
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -76,9 +92,23 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Spark's Python workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        trim()
+
     session.ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(run, schema)
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

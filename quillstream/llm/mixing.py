@@ -3,11 +3,11 @@
 Sources in code-point order, null last, weigh WEIGHTS in turn and share all words of the corpus by weight; a source
 stops at MOST_EPOCHS times its own words, and what it leaves is shared anew by weight among the others until none is
 above. A source repeats every document as often as its target holds it whole; the rest of the target goes to documents
-in a seeded order (md5 of seed and id), the last of which gives only its first words, so that a source meets its target
-to the word. Sums along that order are taken by two levels of 256 hash ranges and then inside one range, so no window
+in a seeded order (md5 of seed and id), the last of which mix() counts in part, so that a source meets its target to the
+word; remix() takes that document whole or not at all, whichever is nearer. Sums along that order are taken by two levels of 256 hash ranges and then inside one range, so no window
 sees more than 256 rows or a 65,536th of a source.
 
-Null texts have no words; null sources are a source; null ids take part under an empty key; repeated rows are rows of
+Null texts have no words; null sources are a source; null ids take part under the md5 of their text; repeated rows are rows of
 their own. Sources without words have target 0. An empty table gives no rows.
 """
 
@@ -27,7 +27,7 @@ def n_words(text: Column) -> Column:
 
 def sized(docs: DataFrame) -> DataFrame:
     """Adds _size (words), _key (the seeded order), and _one, _two (its hash ranges) to docs."""
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{SEED}")).cast("binary"))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))), F.lit(f":{SEED}")).cast("binary"))
     return docs.withColumn("_size", n_words(F.col("text"))).withColumn("_key", key).withColumn("_one", F.substring("_key", 1, 2)).withColumn("_two", F.substring("_key", 3, 2))
 
 
@@ -98,21 +98,16 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def remix(docs: DataFrame) -> DataFrame:
-    """The mix itself: every row as often as it is taken, with its own columns; a row that is taken in part comes with
-    its first words, spaced singly, once more. Rows without words are not taken."""
+    """The mix itself: every row as often as it is taken, with its own columns. A row that is taken in part comes once
+    more if half of its words or more are taken. Rows without words are not taken."""
     named = ("doc_id", "source", "text")
     rest = [c for c in docs.columns if c not in named]
     rows = sized(docs.select(*named, F.struct(F.lit(0).alias("_none"), *rest).alias("_others")))
     sizes = common.materialise(rows.select("doc_id", "source", "_size", "_key", "_one", "_two"), "sizes")
     taken = apply(rows, plan(sizes)).where("taken > 0")
-    whole = F.floor(F.col("taken") / F.col("_size")).cast("int")
-    part = F.col("taken") % F.col("_size")
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    repeats = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    cut = F.col("_part") > 0
-    some = taken.withColumn("_part", F.explode(repeats)).withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_part"), F.lit(1)).cast("int")), " ")).otherwise(F.col("text")))
-    kept = lambda c: F.when(cut, F.length("text").cast("long")).otherwise(F.col("_others")[c]) if c == "n_chars" else F.col("_others")[c]
-    return some.select(*[F.col(c) if c in named else kept(c).alias(c) for c in docs.columns])
+    times = F.floor((2 * F.col("taken") + F.col("_size")) / (2 * F.col("_size"))).cast("int")
+    some = taken.withColumn("_nth", F.explode(F.array_repeat(F.lit(0), times)))
+    return some.select(*[F.col(c) if c in named else F.col("_others")[c].alias(c) for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +116,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-                  md5(coalesce(doc_id::varchar, '') || ':mix-1') as k from documents),
+                  md5(coalesce(doc_id::varchar, md5(coalesce(text, ''))) || ':mix-1') as k from documents),
 s as (select source, sum(size)::hugeint as words, row_number() over (order by source nulls last) as r from d group by source),
 w as (select source, words, [5, 2, 1][((r - 1) % 3 + 1)::int]::hugeint as weight, 3 * words as cap from s),
 o as (select *, coalesce(sum(cap) over p, 0) as c, sum(weight) over () - coalesce(sum(weight) over p, 0) as left_weight, sum(words) over () as total

@@ -38,7 +38,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Candidates: runs of digits, and words around an @ or (at).
 _LOOSE = re.compile(r"(?<![0-9])[0-9](?:[ ().:/-]{0,2}[0-9])++")
-_LOOSE_EMAIL = re.compile(r"(?<![^\s<(\[])[^\s@<(\[]{1,64}(?:@| ?[(\[]at[)\]] ?)[^\s@>)\]]{2,255}")
+_LOOSE_EMAIL = re.compile(r"(?<![^\s<(\[])[^\s@<(\[]++(?:@| ?[(\[]at[)\]] ?)[^\s@>)\]]{2,}+")
+_WORD_START = re.compile(r"(?<!\S)\S")
 
 
 def luhn(digits: str) -> bool:
@@ -107,19 +108,30 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
+def _short(word: str) -> str:
+    """A long word as its digest: rows stay small, and different words stay different."""
+    return word if len(word) <= 64 else "#" + hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _plain(word: str) -> str:
-    return re.sub(r"[0-9]", "0", word.strip(".,;!?\"'()[]{}<>«»“”").lower())
+    return _short(re.sub(r"[0-9]", "0", word.strip(".,;!?\"'()[]{}<>«»“”").lower()))
+
+
+def _before(text: str, starts: list[int], a: int) -> list[str]:
+    """The two words to the left of offset a, which may stand inside the second; starts: where words start."""
+    k = bisect.bisect_left(starts, a)
+    return text[starts[max(0, k - 2)] : a].split() if k else []
 
 
 def mentions(text: str, base: list, loose: list) -> list[dict]:
     """Base spans and candidates, each with a row per pattern: one and two words to its left."""
     if not base and not loose:
         return []
-    out = []
+    out, starts = [], [m.start() for m in _WORD_START.finditer(text)]
     for known, spans in ((True, base), (False, loose)):
         for a, kind, b in spans:
-            left = [_plain(w) for w in text[max(0, a - 80) : a].split()[-2:]]
-            value = re.sub(r"\W", "", text[a:b]).lower()[:80]
+            left = [_plain(w) for w in _before(text, starts, a)]
+            value = _short(re.sub(r"\W", "", text[a:b]).lower())
             shapes = [left[-1]] if left and left[-1] else []
             if len(left) == 2 and all(left):
                 shapes.append(" ".join(left))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.llm import common
@@ -53,12 +53,16 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in common.pieces(batches, "text"):
         fps = np.array([fingerprint(t) for t in common.col(b, "text")], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id long, fp long: the 64 bits as a signed number."""
-    return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _fingerprints, "doc_id long, fp long")
+    """doc_id long, text_hash long, fp long: the 64 bits as a signed number."""
+    return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text")), _fingerprints, "doc_id long, text_hash long, fp long")
 
 
 def masks(level: int, radius: int = RADIUS) -> list[int]:
@@ -169,29 +173,38 @@ def components(edges: DataFrame) -> DataFrame:
         seen = then
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links), a row per row."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fp, root (a number of the component's own), component_id; a row per row of docs."""
     fps = common.materialise(fingerprints(docs), "fingerprints")
     each = common.materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(each.select("fp")))
     of = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     of = common.materialise(of, "roots")
     names = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = of.join(names, "root").select(F.col("fp").alias("fp2"), "component_id")
-    return fps.join(named, fps["fp"] == named["fp2"], "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = common.salted_left_join(of, names, "root", SALTS, F.col("fp")).select("fp", "root", "component_id")
+    return common.salted_left_join(fps, named, "fp", SALTS, F.col("doc_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component: that of its smallest doc_id (of repeated ids, the first by text).
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links), a row per row."""
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-    Rows without a doc_id can't be told apart and are kept."""
-    keep = near_duplicates(docs).where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    twice = common.materialise(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")), "twice")
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component: that of its smallest doc_id, of a repeated id that of the smallest text hash.
+
+    Rows without a doc_id can't be told apart and are kept. Rows of one id and text are one document; which of them
+    stays is settled by their other columns."""
+    least = F.min(F.struct("doc_id", "text_hash")).alias("kept")
+    same = grouped(docs).where("doc_id is not null").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    keep = same.groupBy("root").agg(least, F.min_by("n", F.struct("doc_id", "text_hash")).alias("n")).select(F.col("kept.doc_id").alias("_keep"), F.col("kept.text_hash").alias("_hash"), F.col("n").alias("_n"))
+    keep = common.materialise(keep, "kept")
+    match = (F.col("doc_id").cast("long") == F.col("_keep")) & (text_hash() == F.col("_hash"))
+    rows = docs.join(keep.where("_n = 1"), match, "left_semi")
+    twice = keep.where("_n > 1")
     if not twice.isEmpty():
-        again = rows.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi")
-        ids = again.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_nth = 1").drop("_nth")
-        rows = rows.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(ids)
+        nth = F.row_number().over(Window.partitionBy("_keep", "_hash").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
+        rows = rows.unionByName(docs.join(twice, match).withColumn("_nth", nth).where("_nth = 1").select(*docs.columns))
     return rows.unionByName(docs.where("doc_id is null"))
 
 

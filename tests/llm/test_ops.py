@@ -38,7 +38,7 @@ def test_mix_meets_targets_and_caps(odd, nothing):
     for r in rows:
         by.setdefault((r.source_size, r.target), []).append(r.taken)
     assert all(abs(sum(t) - target) < 1 for (_, target), t in by.items())
-    assert sorted(map(tuple, rows)) if False else sorted(map(str, rows)) == sorted(map(str, mixing.mix(odd).collect()))
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(odd).collect()))
 
 
 def test_water_filling_against_a_plain_loop(spark):
@@ -56,11 +56,18 @@ def test_water_filling_against_a_plain_loop(spark):
     assert got == pytest.approx({words[s]: fixed.get(s, lam * weight[s]) for s in words})
 
 
-def test_remix_repeats_rows_and_keeps_columns(odd):
+def test_remix_takes_whole_documents_and_keeps_columns(odd):
     out, taken = mixing.remix(odd), mixing.mix(odd)
     assert out.columns == odd.columns
-    n = lambda df: sum(len((r.text or "").encode().split()) for r in df.collect())
-    assert n(out) == sum(r.taken for r in taken.collect())
+    want = Counter()
+    for r in taken.collect():
+        if r.taken:
+            want[(r.doc_id, r["size"])] += (2 * r.taken + r["size"]) // (2 * r["size"])
+    n = lambda t: len((t or "").encode().split())
+    got = out.collect()
+    assert Counter((r.doc_id, n(r.text)) for r in got) == +want
+    texts = {(r.doc_id, r.text) for r in odd.collect()}
+    assert {(r.doc_id, r.text) for r in got} <= texts
 
 
 # 2
