@@ -49,9 +49,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's tables go as soon as its result is written; the last one's stay for the caller."""
+    docs, first = common.table(spark, sf_dir, "documents"), common.written()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = common.materialise(docs, f"stage-{name}")
+            common.release(first, common.written() - 1)
     return docs
