@@ -51,20 +51,23 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 MARKING = 1 + len(PREFIXES)
 
 
-def features(token: str) -> list[int]:
-    """Hashes of the word, its proper prefixes, and its suffix; the first MARKING may mark toxic tokens.
+def named(token: str) -> list[str]:
+    """The word, its proper prefixes, and its suffix; the first MARKING may mark toxic tokens.
 
     A prefix that is the whole word is no feature of its own: stems that offend only with an ending stay apart."""
     w = token.strip(_STRIP).lower() or token
-    whole = zlib.crc32(f"w={w}".encode())
-    return [whole, *(zlib.crc32(f"{k}={w[:k]}".encode()) if len(w) > k else whole for k in PREFIXES), zlib.crc32(f"s={w[-3:]}".encode())]
+    return [f"w={w}", *(f"{k}={w[:k]}" if len(w) > k else f"w={w}" for k in PREFIXES), f"s={w[-3:]}"]
+
+
+def features(token: str) -> list[int]:
+    return [zlib.crc32(f.encode()) for f in named(token)]
 
 
 def tokens(text: str | None) -> list[str]:
     return [w.decode() for w in (text or "").encode().split()]
 
 
-def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of a batch of texts, their numbers in the order of the texts, and how many each text has."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     parts = pc.ascii_split_whitespace(texts)
@@ -73,7 +76,7 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     ends = np.r_[0, np.cumsum(real)]
     offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
     coded = flat.filter(pa.array(real)).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.diff(ends[offsets])
+    return coded.dictionary.cast(pa.string()), coded.indices.to_numpy(), np.diff(ends[offsets])
 
 
 def _marks(words: list[str]) -> tuple[int, int]:
@@ -100,23 +103,27 @@ def evidence(p: np.ndarray) -> list[float]:
 
 
 class Field:
-    """weights: by feature; bias, start: of toxic against plain; move: log potentials of (before, after)."""
-
-    def __init__(self, weights: dict[int, float], bias: float, start: float, move: np.ndarray, curve: tuple[float, ...]):
-        self.weights, self.bias, self.start, self.move, self.curve = weights, bias, start, move, curve
-        self.known: dict[str, float] = {}
-
-    def emissions(self, words: list[str]) -> np.ndarray:
-        known, get = self.known, self.weights.get
-        out = []
-        for w in words:
-            e = known.get(w)
-            if e is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                e = known[w] = self.bias + sum(get(f, 0.0) for f in features(w))
-            out.append(e)
-        return np.array(out, float)
+    """weights: by named feature; bias, start: of toxic against plain; move: log potentials of (before, after)."""
+
+    def __init__(self, weights: dict[str, float], bias: float, start: float, move: np.ndarray, curve: tuple[float, ...]):
+        self.bias, self.start, self.move, self.curve = bias, start, move, curve
+        self.tables = []
+        for kind in ("w", *map(str, PREFIXES), "s"):
+            some = {f.partition("=")[2]: w for f, w in weights.items() if f.startswith(f"{kind}=")}
+            self.tables.append((pa.array(some.keys(), pa.string()), np.array([*some.values(), 0.0])))
+
+    def emissions(self, words: list[str] | pa.Array) -> np.ndarray:
+        """The sum of the weights of named(word), for many words at once."""
+        words = pa.array(words, pa.string())
+        bare = pc.utf8_trim(words, characters=_STRIP)
+        bare = pc.if_else(pc.equal(bare, ""), words, pc.utf8_lower(bare))
+        size = pc.utf8_length(bare).to_numpy()
+        weigh = lambda x, table: table[1][pc.fill_null(pc.index_in(x, value_set=table[0]), len(table[0])).to_numpy()]
+        whole, *parts, end = self.tables
+        out = self.bias + weigh(bare, whole) * (1 + sum((size <= k).astype(float) for k in PREFIXES))
+        for k, table in zip(PREFIXES, parts):
+            out += np.where(size > k, weigh(pc.utf8_slice_codeunits(bare, 0, k), table), 0.0)
+        return out + weigh(pc.utf8_slice_codeunits(bare, -3), end)
 
     def marginals(self, rows: list) -> list[np.ndarray]:
         """P(toxic) of every token of every row of emissions."""
@@ -272,7 +279,9 @@ def train(windows: list[tuple[list[str], list[bool]]]) -> Field:
         m, v = 0.9 * m + 0.1 * grad, 0.98 * v + 0.02 * grad**2
         x -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-6)
     kept = np.flatnonzero(np.abs(x[:-6]) > 0.05)
-    return Field(dict(zip(names[kept].tolist(), x[kept].tolist())), float(x[-6]), float(x[-5]), x[-4:].reshape(2, 2), (0.0,) * 4)
+    heavy = dict(zip(names[kept].tolist(), x[kept].tolist()))
+    weights = {f: heavy[h] for w in numbers for f, h in zip(named(w), features(w)) if h in heavy}
+    return Field(weights, float(x[-6]), float(x[-5]), x[-4:].reshape(2, 2), (0.0,) * 4)
 
 
 def fit_curve(z: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:

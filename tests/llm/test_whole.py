@@ -302,11 +302,20 @@ def test_chain_in_segments(monkeypatch):
 def test_words_of_a_batch():
     texts = [None, "", " \n", " a b\x0bA  a\x1c\xa0 ", "b", "\ta"]
     words, at, sizes = toxicity.words_of(pa.array(texts))
-    said = [words[i] for i in at]
+    said = [words[int(i)].as_py() for i in at]
     want = [toxicity.tokens(t) for t in texts]
     assert said == list(itertools.chain(*want)) and sizes.tolist() == [len(w) for w in want]
 
 
+def test_emissions_are_sums_of_named_weights():
+    r = random.Random(3)
+    words = ["".join(r.choice("abÉß.'") for _ in range(r.randint(1, 11))) for _ in range(400)] + ["...", "a", "(x)"]
+    weights = {f: r.random() for w in words[::2] for f in toxicity.named(w)}
+    field = toxicity.Field(weights, -1.0, 0.0, np.zeros((2, 2)), (0.0,) * 4)
+    assert np.allclose(field.emissions(words), [-1.0 + sum(weights.get(f, 0.0) for f in toxicity.named(w)) for w in words])
+    assert len(field.emissions([])) == 0
+
+
 def test_marking_features_are_counted_over_documents(spark):
     counts = spark.createDataFrame([(1, 30, 0), (2, 30, 60), (3, 2, 0), (4, 3, 0), (5, 20, 1)], "feature long, a long, b long")
     assert sorted(r.feature for r in toxicity.marking(counts, 60, 600).collect()) == [1, 4, 5]
