@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning in claims and queries.
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+# Words that carry no meaning in claims, and in queries.
+STOPWORDS = tuple("""
+a an and are as at be been being but by can could did do does doing for from had has have having he her
+here hers him his how i if in into is it its itself just me my no nor not of on once only or other our
+ours out over own same she should so some such than that the their theirs them then there these they
+this those through to too under until up very was we were what when where which while who whom why will
+with would you your yours also about above after again all am any because before below between both
+down during each few further more most off per via yes ok okay
+t s d ll re ve m don doesn didn isn aren wasn weren won wouldn shouldn couldn hasn haven hadn
+""".split())
+QUERY_STOPWORDS = tuple("""
+a an and are as at be but by can could did do does for from had has have how i if in into is it its
+me my no not of on or our should so than that the their them then there these they this to us was
+we were what when where which who why will with would you your please pls thanks thank hi hello
+about above after again all also am any because been before being both each few just more most
+other over same some such too very here now only own up out off tell show give know like want get
+let lets one
+answer answers reply respond sentence briefly short remember recall without exactly currently
+""".split())
+#: Letters with marks, and the letters that they are without them, by Unicode decomposition.
+_MARKED = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(unicodedata.normalize("NFKD", chr(c))) > 1 and unicodedata.normalize("NFKD", chr(c))[0].isascii() and unicodedata.normalize("NFKD", chr(c))[0].isalpha()]
+_FROM, _TO = ("".join(x[k] for x in _MARKED) for k in (0, 1))
 LABEL = r"^(?:assistant reported:|\(inferred\)|\(observed\))\s*"
 #: Kinds of secrets in order of their tests, as Java patterns without look-around.
 SECRETS = (
@@ -38,16 +60,21 @@ def stem(token: Column) -> Column:
     return F.when((n <= 4) | token.rlike("[0-9]"), token).otherwise(trimmed)
 
 
+def plain_words(text: Column) -> Column:
+    """The ASCII words of a text that are no stopwords."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
+    return F.filter(found, lambda w: ~w.isin(*STOPWORDS))
+
+
 def tokens(text: Column) -> Column:
     """Stems of the ASCII words of a text that are no stopwords."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
-    return F.transform(F.filter(found, lambda w: ~w.isin(*STOPWORDS)), stem)
+    return F.transform(plain_words(text), stem)
 
 
 def query_terms(query: Column, most: int = 24) -> Column:
-    """Distinct words of a query, without stopwords and short numbers unless nothing else is left."""
-    every = F.filter(words(query), lambda w: F.length(w) <= 64)
-    kept = F.filter(every, lambda w: ~w.isin(*STOPWORDS) & ~w.rlike("^[0-9]{1,2}$"))
+    """Distinct words of a query, cut to 64 characters, without stopwords and short numbers unless nothing else is left."""
+    every = F.transform(words(query), lambda w: F.substring(w, 1, 64))
+    kept = F.filter(every, lambda w: ~w.isin(*QUERY_STOPWORDS) & ~w.rlike("^[0-9]{1,2}$"))
     return F.slice(F.array_distinct(F.when(F.size(kept) > 0, kept).otherwise(every)), 1, most)
 
 
@@ -68,17 +95,30 @@ def shorten(text: Column, n: int) -> Column:
     return F.when(F.length(text) <= n, text).otherwise(F.concat(F.when(F.length(head) > 0, head).otherwise(F.substring(text, 1, n - 1)), F.lit("…")))
 
 
-def head_tail(text: Column, n: int) -> Column:
-    """The first and last n/2 characters of a longer text, with a mark of how many are left out."""
-    half = n // 2
-    mark = F.concat(F.lit("…[+"), (F.length(text) - 2 * half).cast("string"), F.lit(" chars]…"))
-    return F.when(F.length(text) <= n, text).otherwise(F.concat(F.substring(text, 1, half), mark, F.right(text, F.lit(half))))
+def _inside(data: Column, n: int) -> Column:
+    """How many of the first n bytes of UTF-8 are whole characters; data goes at least a byte beyond, or ends there."""
+    part = F.hex(F.substring(data, n - 2, 4))  # the bytes about the cut: at n - 3, n - 2, n - 1 and n
+    inner = lambda k: F.substring(part, 2 * k + 1, 1).isin("8", "9", "A", "B")
+    return F.when(~inner(3), n).when(~inner(2), n - 1).when(~inner(1), n - 2).otherwise(n - 3)
 
 
 def excerpt(text: Column, n: int) -> Column:
-    """At most n characters and a mark of the bytes left out."""
-    cut = F.substring(text, 1, n)
-    return F.when(F.length(text) <= n, text).otherwise(F.concat(cut, F.lit("…[+"), (F.octet_length(text) - F.octet_length(cut)).cast("string"), F.lit(" bytes]")))
+    """At most n bytes of UTF-8 (n >= 4), whole characters, and a mark of the bytes left out."""
+    data = F.encode(text, "UTF-8")
+    cut = F.decode(F.substr(data, F.lit(1), _inside(data, n)), "UTF-8")
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.concat(cut, F.lit("…[+"), (F.octet_length(text) - n).cast("string"), F.lit(" bytes]")))
+
+
+def head_tail(text: Column, n: int) -> Column:
+    """The first and last n/2 bytes of a longer text, whole characters, with a mark of how many are left out."""
+    half, size, data = n // 2, F.octet_length(text), F.encode(text, "UTF-8")
+    end = F.hex(F.substr(data, size - half + 1, F.lit(4)))
+    inner = lambda k: F.substring(end, 2 * k + 1, 1).isin("8", "9", "A", "B")
+    skip = F.when(~inner(0), 0).when(~inner(1), 1).when(~inner(2), 2).otherwise(3)
+    tail = F.decode(F.substr(data, size - half + 1 + skip, F.lit(half) - skip), "UTF-8")
+    head = F.decode(F.substr(data, F.lit(1), _inside(data, half)), "UTF-8")
+    mark = F.concat(F.lit("…["), (size - 2 * half).cast("string"), F.lit(" bytes omitted]…"))
+    return F.when(size <= n, text).otherwise(F.concat(head, mark, tail))
 
 
 def unlabel(text: Column) -> Column:
@@ -102,8 +142,9 @@ def secret_kinds(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """Lower case, accents of common letters folded, marks of Markdown as spaces, single spaces."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "äöüàáâçèéêëìíîïñòóôùúû", "aouaaaceeeeiiiinooouuu")
+    """Lower case, letters without their marks, other characters than ASCII gone, marks of Markdown as spaces, single
+    spaces."""
+    plain = F.lower(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _FROM, _TO), r"[^\x00-\x7F]+", ""))
     return F.btrim(F.regexp_replace(F.regexp_replace(plain, r"[`*_>#|]", " "), r"\s+", " "))
 
 
@@ -116,3 +157,27 @@ def sentences(text: Column) -> Column:
 def parse_ts(text: Column) -> Column:
     """ISO time as epoch seconds, 0.0 where it can't be read; without a zone it is UTC."""
     return F.coalesce(F.unix_micros(F.try_to_timestamp(text)) / 1e6, F.lit(0.0))
+
+
+def contains_all(text: Column, needed: Column) -> Column:
+    return F.size(F.array_except(needed, text)) == 0
+
+
+def clip(text: Column, n: int) -> Column:
+    """The first two thirds and the last third of n characters of a longer text, with a mark between."""
+    head = n * 2 // 3
+    mark = F.lit(" … ")
+    return F.when(F.length(text) <= n, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, head)), mark, F.ltrim(F.right(text, F.lit(n - head)))))
+
+
+def compact_slug(text: Column, words_most: int = 6, n: int = 48) -> Column:
+    """A slug of the first content words of a text, without a trailing statement of its day."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*\(stated \d{4}-\d{2}-\d{2}\)\s*$", "")
+    every = F.filter(F.split(slugify(bare, 4096), "-"), lambda w: w != "")
+    kept = F.filter(every, lambda w: ~w.isin(*STOPWORDS))
+    return F.btrim(F.substring(F.array_join(F.slice(F.when(F.size(kept) > 0, kept).otherwise(every), 1, words_most), "-"), 1, n), F.lit("-"))
+
+
+def to_text(parts: Column) -> Column:
+    """Message parts array<struct<type, text>> as lines; a part that is no text is its type in brackets."""
+    return F.array_join(F.transform(parts, lambda p: F.when(p["type"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise(F.concat(F.lit("["), F.coalesce(p["type"], F.lit("part")), F.lit("]")))), "\n")

@@ -9,11 +9,12 @@ from quillstream.functions import text as T
 
 #: Type, then remember, relevance, importance, confidence, lifetime, destination.
 PROFILES = [
-    ("user_preference", True, 0.9, 0.7, 0.9, "long_term", "user"),
-    ("decision", True, 0.9, 0.8, 0.9, "long_term", "wiki"),
-    ("learning", True, 0.8, 0.7, 0.8, "long_term", "wiki"),
-    ("environment", True, 0.8, 0.6, 0.8, "long_term", "wiki"),
-    ("noise", False, 0.1, 0.1, 0.9, "ephemeral", "none"),
+    ("user_preference", True, 0.9, 0.7, 0.8, "long_term", "user"),
+    ("decision", True, 0.9, 0.8, 0.8, "long_term", "wiki"),
+    ("learning", True, 0.8, 0.7, 0.7, "long_term", "wiki"),
+    ("environment", True, 0.8, 0.6, 0.7, "long_term", "wiki"),
+    ("configuration", True, 0.8, 0.6, 0.7, "long_term", "wiki"),
+    ("noise", False, 0.1, 0.0, 0.9, "transient", "none"),
 ]
 PREFERENCE = r"(?iu)\b(?:i (?:always|never|usually)? ?(?:prefer|like|want|use|hate)|please always|from now on|ich bevorzuge|ich möchte (?:immer|nie)|immer bitte)\b"
 CONFIRM = r"(?iu)^\s*(?:yes|yep|ok(?:ay)?|sounds good|agreed|let's do (?:it|that)|go ahead|ja|einverstanden|machen wir)\b"
@@ -39,4 +40,4 @@ def classify(turns: DataFrame) -> DataFrame:
     found = rows.select("session_id", "id", F.explode(F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.lit("noise")))).alias("type"))
     names = ("remember", "relevance", "importance", "confidence", "lifetime", "destination")
     table = turns.sparkSession.createDataFrame(PROFILES, "type string, remember boolean, relevance double, importance double, confidence double, lifetime string, destination string")
-    return found.join(F.broadcast(table), "type").select("session_id", "id", "type", *names)  # five rows
+    return found.join(F.broadcast(table), "type").select("session_id", "id", "type", *names)  # six rows

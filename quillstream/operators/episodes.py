@@ -25,9 +25,10 @@ def previous(rows: DataFrame, part: str, order: str, flag, value: str, name: str
 
 
 def following(rows: DataFrame, part: str, order: str, flag, value: str, name: str) -> DataFrame:
-    """As-of join forward: the value of the first later row with the flag."""
-    w = Window.partitionBy(part).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn(name, F.first(F.when(flag, F.col(value)), ignorenulls=True).over(w))
+    """As-of join forward: the value of the first later row with the flag. In descending order that is the last one
+    before a row, so a running frame does and no frame to the end is looked through again for every row."""
+    w = Window.partitionBy(part).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(name, F.last(F.when(flag, F.col(value)), ignorenulls=True).over(w))
 
 
 def range_latest(probes: DataFrame, points: DataFrame, part: str, ts: str, before: int, value: str) -> DataFrame:

@@ -33,20 +33,35 @@ def staleness(index: DataFrame, source: DataFrame, key: str) -> DataFrame:
     return both.select(key, state.alias("state")).where("state is not null")
 
 
-def digest(pages: DataFrame, path: Column, hashed: Column, buckets: int = 4096) -> DataFrame:
-    """n_pages and a digest of all pages in order of their path hash: leaves of bounded size, then their digests."""
-    leaf = pages.select(F.substring(F.sha2(path, 256), 1, 3).alias("b"), F.concat(path, F.lit(" "), hashed).alias("line"))
-    leaves = leaf.groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"))
-    return leaves.agg(F.sum("n").alias("n_pages"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+def digest(pages: DataFrame, path: Column, hashed: Column, leaf_rows: int = 1024) -> DataFrame:
+    """n_pages and a digest of all pages, whatever their order: a tree over the hex digits of the path's hash, as deep as
+    keeps leaves near leaf_rows pages; every node is the digest of its sorted children, at most 16 above the leaves."""
+    rows = pages.select(F.sha2(path, 256).alias("at"), F.concat(path, F.lit(" "), hashed).alias("line"))
+    n = pages.count()
+    depth = 1
+    while n > leaf_rows * 16**depth:
+        depth += 1
+    level = rows.select(F.substring("at", 1, depth).alias("b"), "line", F.lit(1).cast("long").alias("n"))
+    for k in range(depth, -1, -1):
+        node = F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256)
+        level = level.groupBy("b").agg(F.sum("n").alias("n"), node.alias("d")).select(F.substring("b", 1, k - 1).alias("b") if k > 1 else F.lit("").alias("b"), F.concat("b", F.lit(" "), "d").alias("line"), "n", "d")
+    return level.select(F.col("n").alias("n_pages"), F.col("d").alias("digest"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
-    """item_id, doc_id, share: the share of an item's distinct tokens in a document, joined on shared tokens and summed;
-    tokens of more than a tenth of the items block nothing but still count."""
+    """item_id, doc_id, share: the share of an item's distinct tokens in a document, where it is `least` or more.
+
+    A document with that share lacks few of an item's tokens, so it has one of the item's rarest, as many as may be
+    lacking and one: pairs come from those alone, and all tokens of such pairs are then counted."""
     it = items.select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("tokens")).where(F.size("tokens") > 0)
     each = it.select("item_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    seen = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-    hits = seen.join(each, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("hit"), F.max("n").alias("n"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(T.plain_words(F.col("text")))).alias("word"))
+    seen = words.select("doc_id", T.stem(F.col("word")).alias("token")).join(each.select("token").distinct(), "token", "left_semi").distinct()
+    df = seen.groupBy("token").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "token"))
+    rare = each.join(df, "token", "left").withColumn("_r", rank).where(F.col("_r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    pairs = seen.join(rare.select("item_id", "token"), "token").select("item_id", "doc_id").distinct()
+    hits = pairs.join(each, "item_id").join(seen, ["doc_id", "token"]).groupBy("item_id", "doc_id").agg(F.count("*").alias("hit"), F.max("n").alias("n"))
     return hits.where(F.col("hit") >= least * F.col("n")).select("item_id", "doc_id", F.round(F.col("hit") / F.col("n"), 4).alias("share"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream import session
-from quillstream.functions import commands, dates, facts
+from quillstream.functions import capture, commands, dates, facts
 from quillstream.functions import text as T
 from quillstream.operators import classify as K
 from quillstream.operators import curation as C
@@ -26,12 +26,13 @@ SQL: dict[str, str] = {}
 ASKED = ("the thing of tion zzunknown", "der schen und ber", "la ment que eau")
 _ASK = ", ".join(f"({i}::bigint, '{q}')" for i, q in enumerate(ASKED))
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_QSTOP = ", ".join(f"'{w}'" for w in T.QUERY_STOPWORDS)
 _W = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+')"
 _TOK = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+'), lambda w: w not in (" + _STOP + "))"
 _STEM = """list_transform({}, lambda w: case when len(w) <= 4 or regexp_matches(w, '[0-9]') then w else
  regexp_replace(case when w like '%ies' and len(w) >= 6 then w[:-4] || 'i' when w like '%ing' and len(w) >= 6 then w[:-4] when w like '%ed' and len(w) >= 5 then w[:-3]
  when w like '%es' and len(w) >= 5 then w[:-3] when w like '%s' and len(w) >= 4 then w[:-2] else w end, '^(.{{4,}})e$', '\\1') end)"""
-_TERMS = f"asked(query_id, query) as (values {_ASK}), terms as (select query_id, unnest(list_distinct(list_filter({_W.format('query')}, lambda w: w not in ({_STOP})))) as term from asked)"
+_TERMS = f"asked(query_id, query) as (values {_ASK}), terms as (select query_id, unnest(list_distinct(list_filter({_W.format('query')}, lambda w: w not in ({_QSTOP})))) as term from asked)"
 
 
 def query(sql: str | None = None):
@@ -91,30 +92,31 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.bm25(asked(spark), tab(spark, d, "documents"), "doc_id", "text", 20)
 
 
-def _sims(spark: SparkSession, d: str) -> DataFrame:
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every hundredth vector as a query, and all of them as units of pages."""
     e = tab(spark, d, "embeddings").where("embedding is not null")
-    q = e.where("vec_id in (0, 7, 42)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    return R.dense(q, e.select(F.col("vec_id").alias("unit"), F.col("label").cast("long").alias("page"), F.col("embedding").alias("vec")), "page")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    return q, e.select(F.col("vec_id").alias("unit"), F.col("label").cast("long").alias("page"), F.col("embedding").alias("vec"))
 
 
 _SIMS = """s as (select q.vec_id as query_id, e.label::bigint as page, e.vec_id as unit, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: x[1]::double * x[2]::double)), 6) as sim
-from embeddings e, embeddings q where q.vec_id in (0, 7, 42) and e.embedding is not null)"""
+from embeddings e, embeddings q where q.vec_id % 100 = 0 and e.embedding is not null)"""
+_TOP10 = f"with {_SIMS} select query_id, unit, sim, row_number() over (partition by query_id order by sim desc, unit)::int as rank from s qualify rank <= 10"
 
 
-@query(f"with {_SIMS} select query_id, unit, sim, row_number() over (partition by query_id order by sim desc, unit)::int as rank from s qualify rank <= 10")
+@query(_TOP10)
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "unit"))
-    return _sims(spark, d).withColumn("rank", rank).where(F.col("rank") <= 10).select("query_id", "unit", "sim", "rank")
+    return R.dense_topk(*_vectors(spark, d), 10)
 
 
 @query(f"with {_SIMS}, r as (select *, row_number() over (partition by query_id, page order by sim desc, unit) as r from s qualify r <= 3) select query_id, page, max(sim) as score, string_agg(unit::varchar, ',' order by r) as units from r group by query_id, page")
 def dense_best_unit_per_page(spark: SparkSession, d: str) -> DataFrame:
-    return R.best_units(_sims(spark, d), "page")
+    return R.best_units(R.dense(*_vectors(spark, d), 3, by_page=True), "page")
 
 
-@query(f"with {_SIMS} select query_id, unit, round(greatest(0.0, least(1.0, (sim - 0.1::double) / (0.8::double - 0.1::double))), 4) as score from s")
+@query(f"select query_id, unit, round(greatest(0.0, least(1.0, (sim - 0.1::double) / (0.8::double - 0.1::double))), 4) as score from ({_TOP10})")
 def score_calibrate(spark: SparkSession, d: str) -> DataFrame:
-    return _sims(spark, d).select("query_id", "unit", R.calibrate(F.col("sim"), 0.1, 0.8).alias("score"))
+    return dense_topk(spark, d).select("query_id", "unit", R.calibrate(F.col("sim"), 0.1, 0.8).alias("score"))
 
 
 @query(f"""with a as ({_coverage_sql('')}), b as ({_BM25}),
@@ -125,6 +127,78 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return R.fuse([(fts_idf_topk(spark, d), 1.0), (bm25_topk(spark, d), 0.5)], "doc_id", 10)
 
 
+FIELD_ASKED = ("the de web thing", "ber fr books", "tion zzunknown")
+_FIELD_TERMS = "asked(query_id, query) as (values " + ", ".join(f"({i}::bigint, '{q}')" for i, q in enumerate(FIELD_ASKED)) + f"), terms as (select query_id, unnest(list_distinct(list_filter({_W.format('query')}, lambda w: w not in ({_QSTOP})))) as term from asked)"
+_FIELDS = f"""{_FIELD_TERMS}, x as materialized (select doc_id as page, {_W.format('source')} as a, {_W.format('lang')} as b, {_W.format('text')} as c from documents),
+p as (select page, len(a) + len(b) + len(c) as n, unnest(a) as term, 8.0::double as w, true as s from x union all select page, len(a) + len(b) + len(c), unnest(b), 4.0::double, true from x union all select page, len(a) + len(b) + len(c), unnest(c), 1.0::double, false from x),
+h as (select query_id, page, term, sum(w) as tf, max(n) as n, bool_or(s) as strong from p join terms using (term) group by all),
+m as (select count(*) as pages, avg(len(a) + len(b) + len(c)) as mean from x), f as (select query_id, term, count(*) as df from h group by all),
+w as (select query_id, term, ln(1 + (pages - coalesce(df, 0) + 0.5::double) / (coalesce(df, 0) + 0.5::double)) as idf, df is not null as known, mean from terms left join f using (query_id, term), m),
+t as (select query_id, sum(case when known then idf else idf * {R.UNKNOWN}::double end) as whole from w group by query_id),
+g as (select query_id, page, round(sum(idf * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * n / mean))), 6) as bm25, sum(idf * case when strong then 1.0::double else 0.7::double end) as got from h join w using (query_id, term) group by query_id, page),
+o as (select * from g qualify row_number() over (partition by query_id order by bm25 desc, page) <= 100),
+r as (select query_id, page, round(least(1.0, got / whole), 4) as score, bm25 from o join t using (query_id)),
+hits as (select *, row_number() over (partition by query_id order by score desc, bm25 desc, page)::int as rank from r qualify rank <= 20)"""
+
+
+def _fielded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = ", ".join(f"({i}L, '{q}')" for i, q in enumerate(FIELD_ASKED))
+    pages = tab(spark, d, "documents").select(F.col("doc_id").alias("page"), F.col("source").alias("title"), F.col("lang").alias("tags"), F.col("text").alias("body"))
+    return spark.sql(f"select * from values {rows} as t(query_id, query)"), pages
+
+
+@query(f"with {_FIELDS} select * from hits")
+def field_search(spark: SparkSession, d: str) -> DataFrame:
+    return R.search(*_fielded(spark, d), 20)
+
+
+@query(f"""with {_FIELDS}, l as (select query_id, page, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos, coalesce(text, '') as body from hits join documents on doc_id = page),
+q as (select query_id, list(term) as want from terms group by query_id),
+n as (select *, len(list_intersect(list_distinct({_W.format('line')}), want)) as n from l join q using (query_id)),
+b as (select query_id, page, pos, trim(line) as line from n where n > 0 qualify row_number() over (partition by query_id, page order by n desc, pos desc) <= 2),
+s as (select query_id, page, string_agg(line, ' … ' order by pos) as s from b group by query_id, page)
+select query_id, page, rank, md5(case when s is not null then s[1:420] else coalesce(text, '')[1:200] end) as snippet from hits join documents on doc_id = page left join s using (query_id, page)""")
+def search_snippets(spark: SparkSession, d: str) -> DataFrame:
+    asked_, pages = _fielded(spark, d)
+    return R.snippets(R.search(asked_, pages, 20), asked_, pages).select("query_id", "page", "rank", F.md5(F.col("snippet").cast("binary")).alias("snippet"))
+
+
+@query(f"""with {_FIELDS}, q as (select query_id, list_distinct({_W.format('query')}) as want from asked),
+s as (select query_id, page, score as prior, rank as before, len(list_intersect(want, list_distinct({_W.format('coalesce(text, chr(32))[1:2000]')}))) / len(want)::double as score from hits join documents on doc_id = page join q using (query_id)),
+v as (select *, row_number() over (partition by query_id order by score desc, before)::int as rank, max(score) over (partition by query_id) as best from s qualify rank <= 10),
+u as (select *, max(score) over (partition by query_id) as top from v)
+select query_id, page, round(score, 9) as score, prior, rank from u where rank <= 10 and (score >= greatest(0.002, 0.01 * top) or prior >= 0.4)""")
+def rerank_accepted(spark: SparkSession, d: str) -> DataFrame:
+    asked_, pages = _fielded(spark, d)
+    hits = R.rerank(R.search(asked_, pages, 20), asked_, pages.select("page", F.col("body").alias("text")), 10)
+    return R.accepted(hits).select("query_id", "page", F.round("score", 9).alias("score"), "prior", "rank")
+
+
+@query("select * from (select event_id, user_id, event_type from events where event_type = 'error' order by event_id desc limit 25)")
+def list_rows_newest(spark: SparkSession, d: str) -> DataFrame:
+    e = tab(spark, d, "events").select("event_id", "user_id", F.col("event_id").alias("id"), F.col("event_type").alias("status"))
+    return S.list_rows(e, 25, status="error").select("event_id", "user_id", F.col("status").alias("event_type"))
+
+
+@query("""select conv_id, turn, md5(case when turn % 3 = 0 then trim(coalesce(text, ''), chr(10) || ' ' || chr(9) || chr(13)) else coalesce(text, '') end) as clean, turn % 3 = 0 as found from conversations""")
+def printed_calls(spark: SparkSession, d: str) -> DataFrame:
+    session.ship(spark)
+    planted = F.when(F.col("turn") % 3 == 0, '\nmemory_search(query="x", limit=3)\n{"name": "terminal", "arguments": {"command": "ls"}}').otherwise("")
+    rows = tab(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), planted).alias("t"))
+    none = F.struct(F.col("t").alias("text"), F.lit(False).alias("found"))
+    out = rows.withColumn("_c", F.when(capture.mentions_call(F.col("t")), capture.stripped(F.col("t"))).otherwise(none))
+    return out.select("conv_id", "turn", F.md5(F.col("_c.text").cast("binary")).alias("clean"), F.col("_c.found").alias("found"))
+
+
+@query("select event_id, case event_id % 4 when 0 then 'notes/' || user_id || '.md' when 1 then 'src/' || event_id || '.py' when 2 then 'b' || user_id end as path, case event_id % 4 when 0 then 'write' when 1 then 'update' when 2 then 'move' end as op from events where event_id % 4 <> 3")
+def file_change_rows(spark: SparkSession, d: str) -> DataFrame:
+    who, k = F.col("user_id").cast("string"), F.col("event_id") % 4
+    patch = F.when(k == 1, F.concat(F.lit("*** Update File: src/"), F.col("event_id").cast("string"), F.lit(".py\n@@\n+x"))).otherwise(F.concat(F.lit("*** Move File: a"), who, F.lit(" -> b"), who))
+    args = F.when(k == 0, F.to_json(F.struct(F.concat(F.lit("notes/"), who, F.lit(".md")).alias("path")))).otherwise(F.to_json(F.struct(F.lit("patch").alias("mode"), patch.alias("patch"))))
+    rows = tab(spark, d, "events").select("event_id", F.when(k == 0, "write_file").when(k == 3, "terminal").otherwise("patch").alias("tool"), args.alias("args"))
+    return rows.select("event_id", F.explode(capture.file_changes(F.col("tool"), F.col("args"))).alias("c")).select("event_id", "c.path", "c.op")
+
+
 _KINDS = ("click", "view", "purchase", "signup", "error", "refund")
 
 
@@ -225,8 +299,8 @@ def index_staleness_diff(spark: SparkSession, d: str) -> DataFrame:
     return P.staleness(old.unionByName(docs.where("doc_id % 10 = 1").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "hash")), docs, "doc_id")
 
 
-@query("""with l as (select substr(sha256(doc_id::varchar), 1, 3) as b, doc_id::varchar || ' ' || sha256(coalesce(text, '')) as line from documents),
-f as (select b, count(*) as n, sha256(string_agg(line, chr(10) order by line)) as d from l group by b) select sum(n)::bigint as n_pages, sha256(string_agg(d, chr(10) order by b)) as digest from f""")
+@query("""with l as (select substr(sha256(doc_id::varchar), 1, 1) as b, doc_id::varchar || ' ' || sha256(coalesce(text, '')) as line from documents),
+f as (select b, count(*) as n, sha256(string_agg(line, chr(10) order by line)) as d from l group by b) select sum(n)::bigint as n_pages, sha256(string_agg(b || ' ' || d, chr(10) order by b)) as digest from f""")
 def wiki_digest(spark: SparkSession, d: str) -> DataFrame:
     return P.digest(tab(spark, d, "documents"), F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
 
@@ -263,12 +337,22 @@ def broken_links(spark: SparkSession, d: str) -> DataFrame:
     return P.broken_links(links, "link", pages, "url")
 
 
-@query("select doc_id, case when len(text) <= 80 then text else text[1:40] || '…[+' || (len(text) - 80) || ' chars]…' || right(text, 40) end as excerpt from documents")
+def _whole(n: str) -> str:
+    """SQL: how many of the first n bytes of hex h are whole characters."""
+    inner = lambda k: f"substr(h, 2 * ({n} - {k}) + 1, 1) in ('8', '9', 'A', 'B')"
+    return f"(case when not {inner(0)} then {n} when not {inner(1)} then {n} - 1 when not {inner(2)} then {n} - 2 else {n} - 3 end)"
+
+
+_SKIP = "(case when not substr(h, 2 * (n - 40) + 1, 1) in ('8', '9', 'A', 'B') then 0 when not substr(h, 2 * (n - 39) + 1, 1) in ('8', '9', 'A', 'B') then 1 when not substr(h, 2 * (n - 38) + 1, 1) in ('8', '9', 'A', 'B') then 2 else 3 end)"
+_HEX = "t as (select doc_id, text, strlen(text) as n, hex(encode(text)) as h from documents)"
+
+
+@query(f"with {_HEX} select doc_id, case when n <= 80 then text else decode(unhex(substr(h, 1, 2 * {_whole('40')}))) || '…[' || (n - 80) || ' bytes omitted]…' || decode(unhex(substr(h, 2 * (n - 40 + {_SKIP}) + 1))) end as excerpt from t")
 def head_tail_excerpt(spark: SparkSession, d: str) -> DataFrame:
     return tab(spark, d, "documents").select("doc_id", T.head_tail(F.col("text"), 80).alias("excerpt"))
 
 
-@query("select doc_id, case when len(text) <= 64 then text else text[1:64] || '…[+' || (strlen(text) - strlen(text[1:64])) || ' bytes]' end as excerpt from documents")
+@query(f"with {_HEX} select doc_id, case when n <= 64 then text else decode(unhex(substr(h, 1, 2 * {_whole('64')}))) || '…[+' || (n - 64) || ' bytes]' end as excerpt from t")
 def truncate_bytes(spark: SparkSession, d: str) -> DataFrame:
     return tab(spark, d, "documents").select("doc_id", T.excerpt(F.col("text"), 64).alias("excerpt"))
 
@@ -341,29 +425,34 @@ def relative_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _services(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Claims about services on ports, and the pages that hold what was known."""
-    docs = tab(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("page_id"))
+    """A claim of every document about a service on a port, and what pages knew: a page for four documents, and page 0
+    for a fifth of all."""
+    page = F.when(F.col("doc_id") % 5 == 0, 0).otherwise(F.floor(F.col("doc_id") / 4) + 1).cast("long")
+    docs = tab(spark, d, "documents").where("doc_id is not null").select("doc_id", page.alias("page_id"))
     name = F.concat(F.lit("Service "), F.translate(F.col("page_id").cast("string"), "0123456789", "qwertzuiop"), F.lit("ab runs on port "))
-    claims = docs.where("doc_id < 120").select(F.col("doc_id").alias("claim_id"), "page_id", F.concat(name, (8000 + F.col("doc_id") % 3).cast("string"), F.lit(".")).alias("text"), F.lit("observed").alias("label"))
-    old = docs.where("doc_id < 40").select((F.col("doc_id") + 1000).alias("claim_id"), "page_id", F.concat(name, F.lit("8000.")).alias("text"), F.lit("observed").alias("label"))
+    claims = docs.select(F.col("doc_id").alias("claim_id"), "page_id", F.concat(name, (8000 + F.col("doc_id") % 3).cast("string"), F.lit(".")).alias("text"), F.lit("observed").alias("label"))
+    old = docs.select("page_id").distinct().select((F.col("page_id") + 1_000_000_000_000).alias("claim_id"), "page_id", F.concat(name, F.lit("8000.")).alias("text"), F.lit("observed").alias("label"))
     dated = old.withColumns({"stated_on": F.lit("2024-01-01").cast("date"), "superseded_on": F.lit(None).cast("date"), "superseded_by": F.lit(None).cast("long")})
     return claims, dated
 
 
-@query("select doc_id as claim_id, doc_id % 40 + 1000 as old_id, 'port' as slot, '8000' as old_value, (8000 + doc_id % 3)::varchar as new_value from documents where doc_id < 120 and doc_id % 3 <> 0")
+_PAGED = "p as (select doc_id, case when doc_id % 5 = 0 then 0 else doc_id // 4 + 1 end::bigint as page_id from documents where doc_id is not null)"
+
+
+@query(f"with {_PAGED} select doc_id as claim_id, page_id + 1000000000000 as old_id, 'port' as slot, '8000' as old_value, (8000 + doc_id % 3)::varchar as new_value from p where doc_id % 3 <> 0")
 def contradiction_pairs(spark: SparkSession, d: str) -> DataFrame:
     claims, old = _services(spark, d)
     return C.contradictions(claims, old)
 
 
-@query("select doc_id as claim_id, doc_id % 40 as page_id from documents where doc_id < 120 and doc_id % 3 <> 0")
+@query(f"with {_PAGED} select doc_id as claim_id, page_id from p where doc_id % 3 <> 0")
 def presence_antijoin(spark: SparkSession, d: str) -> DataFrame:
     claims, old = _services(spark, d)
     return C.missing(claims, old).select("claim_id", "page_id")
 
 
-@query("""with n as (select doc_id, doc_id % 40 as page_id from documents where doc_id < 120 and doc_id % 3 <> 0), b as (select page_id, min(doc_id) as first from n group by page_id)
-select doc_id + 1000 as claim_id, date '2024-01-01' as stated_on, case when first is not null then date '2024-02-01' end as superseded_on, first as superseded_by from documents left join b on doc_id = page_id where doc_id < 40
+@query(f"""with {_PAGED}, n as (select * from p where doc_id % 3 <> 0), b as (select page_id, min(doc_id) as first from n group by page_id)
+select page_id + 1000000000000 as claim_id, date '2024-01-01' as stated_on, case when first is not null then date '2024-02-01' end as superseded_on, first as superseded_by from (select distinct page_id from p) left join b using (page_id)
 union all select doc_id, date '2024-02-01', null, null from n""")
 def scd2_supersede(spark: SparkSession, d: str) -> DataFrame:
     claims, old = _services(spark, d)
@@ -415,8 +504,8 @@ def command_topics(spark: SparkSession, d: str) -> DataFrame:
     return tab(spark, d, "events").select("event_id", about["subject"].alias("subject"), F.array_join(about["tags"], ",").alias("tags"))
 
 
-@query("""select doc_id as claim_id, doc_id % 40 + 1000 as old_id, 'value' as kind,
- 'Service ' || translate((doc_id % 40)::varchar, '0123456789', 'qwertzuiop') || 'ab runs on port ' || (8000 + doc_id % 3) || '.' as rewritten from documents where doc_id < 120 and doc_id % 3 <> 0""")
+@query(f"""with {_PAGED} select doc_id as claim_id, page_id + 1000000000000 as old_id, 'value' as kind,
+ 'Service ' || translate(page_id::varchar, '0123456789', 'qwertzuiop') || 'ab runs on port ' || (8000 + doc_id % 3) || '.' as rewritten from p where doc_id % 3 <> 0""")
 def claim_changes(spark: SparkSession, d: str) -> DataFrame:
     return C.changes(*_services(spark, d))
 

@@ -8,13 +8,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream import session
+from quillstream.functions import capture
+
 STATUSES = ("new", "processing", "done", "dead")
 
 
-def append(spool: DataFrame, events: DataFrame) -> DataFrame:
-    """Adds events whose id is not there yet, as new."""
+def append(spool: DataFrame, events: DataFrame, most: int | None = None) -> DataFrame:
+    """Adds events whose id is not there yet, as new. With `most`, a JSON content of more bytes is cut to them, and the
+    event's source_refs name its session, where the whole is."""
+    if most:
+        session.ship(events.sparkSession)
+        large = F.octet_length("content") > most
+        ref = F.concat(F.lit("session:"), F.coalesce("session_id", F.lit("")))
+        refs = F.array_union(F.coalesce("source_refs", F.array().cast("array<string>")), F.array(ref)) if "source_refs" in events.columns else F.array(ref)
+        old = F.col("source_refs") if "source_refs" in events.columns else F.array().cast("array<string>")
+        events = events.withColumns({"source_refs": F.when(large, refs).otherwise(old), "content": F.when(large, capture.truncated(F.col("content"), F.lit(most))).otherwise(F.col("content"))})
+    return _added(spool, events, "new")
+
+
+def append_claimed(spool: DataFrame, events: DataFrame, worker: str, now: float) -> DataFrame:
+    """Adds events whose id is not there yet as processing, for a worker that handles them itself."""
+    return _added(spool, events.withColumns({"claimed_by": F.lit(worker), "claimed_at": F.lit(now)}), "processing")
+
+
+def _added(spool: DataFrame, events: DataFrame, status: str) -> DataFrame:
     fresh = events.dropDuplicates(["id"]).join(spool.select("id"), "id", "left_anti")
-    return spool.unionByName(fresh.withColumns({"status": F.lit("new"), "attempts": F.lit(0)}), allowMissingColumns=True)
+    return spool.unionByName(fresh.withColumns({"status": F.lit(status), "attempts": F.lit(0)}), allowMissingColumns=True)
+
+
+def get(spool: DataFrame, id: str, schema: str | None = None) -> DataFrame:
+    """The event of an id; with a schema its JSON content is read as a struct."""
+    row = spool.where(F.col("id") == id)
+    return row.withColumn("content", F.from_json("content", schema)) if schema else row
+
+
+def list_rows(spool: DataFrame, limit: int, session_id: str | None = None, status: str | None = None) -> DataFrame:
+    """The newest `limit` events of a session or status, the oldest of them first."""
+    rows = spool if session_id is None else spool.where(F.col("session_id") == session_id)
+    rows = rows if status is None else rows.where(F.col("status") == status)
+    return rows.orderBy(F.desc("id")).limit(limit).orderBy("id")
 
 
 def claim(spool: DataFrame, limit: int, worker: str, now: float, reclaim_after: float = 300.0, max_attempts: int = 3) -> DataFrame:
