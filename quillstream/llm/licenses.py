@@ -128,6 +128,10 @@ for _licence in sorted({name for _, name in RULES} - {"BSD-style"}):
     RULES.append(([f"spdx-{_licence}"], _licence))
 
 
+#: A known sentence holds one of these, so a text without any is not searched further.
+GATE = "licen[cs]e|redistribut|permission|copyright|warranty|public domain|mpl|shall be included|the names? of"
+
+
 _END, _BLANK = "\x01", "\x02"  # a sentence mark before white space, and a blank line
 
 
@@ -175,6 +179,7 @@ def recognise(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list[tu
     table = F.create_map(*[F.lit(x) for name, s in known.items() if "*" not in s for x in (s, name)])
     said = docs.select(F.col("doc_id").cast("long").alias("doc_id"), pieces(F.col("text").cast("string")).alias("said"))
     found = F.regexp_extract_all(F.concat(F.lit("\n"), "said", F.lit("\n")), F.lit(_any(known)), F.lit(0))
+    found = F.when(F.col("said").rlike(GATE.replace(" ", "(?: |\n\n)")), found).otherwise(F.array().cast("array<string>"))
     n = F.regexp_count("said", F.lit(r"[^\n\x02]+"))
 
     def named(s: Column) -> Column:

@@ -20,7 +20,9 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ from quillstream.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SURE, SUPPORT, SALTS = 3, 0.5, 3, 16
-#: The filter of patterns' words has so many bits, in blocks of Spark's bitmaps; a task remembers so many words and counts.
+#: The filter of patterns' words has so many bits, in blocks of Spark's bitmaps; a task holds so many counts.
 BITS, BLOCK, MOST = 1 << 25, 1 << 15, 1 << 17
 # Possessive forms of the contract's patterns: a run of digits is looked at once, so long runs take linear time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,7 +41,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 #: Candidates: runs of digits, and words around an @ or (at).
 _LOOSE = re.compile(r"(?<![0-9])[0-9](?:[ ().:/-]{0,2}[0-9])++")
 _LOOSE_EMAIL = re.compile(r"(?<![^\s<(\[])[^\s@<(\[]++(?:@| ?[(\[]at[)\]] ?)[^\s@>)\]]{2,}+")
-_WORD_START = re.compile(r"(?<!\S)\S")
+_WORD_START = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]")
+_SIGNS = ".,;!?\"'()[]{}<>«»“”"
 
 
 def luhn(digits: str) -> bool:
@@ -113,14 +116,20 @@ def _short(word: str) -> str:
     return word if len(word) <= 64 else "#" + hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def plain(words: list[str] | pa.Array) -> list[str]:
+    """Words as patterns hold them: without the signs about them, lower case, every digit a 0, long ones as digests."""
+    bare = pc.utf8_lower(pc.utf8_trim(pa.array(words, pa.string()), characters=_SIGNS))
+    return [_short(w) for w in pc.replace_substring_regex(bare, "[0-9]", "0").to_pylist()]
+
+
 def _plain(word: str) -> str:
-    return _short(re.sub(r"[0-9]", "0", word.strip(".,;!?\"'()[]{}<>«»“”").lower()))
+    return plain([word])[0]
 
 
 def _before(text: str, starts: list[int], a: int) -> list[str]:
     """The two words to the left of offset a, which may stand inside the second; starts: where words start."""
     k = bisect.bisect_left(starts, a)
-    return text[starts[max(0, k - 2)] : a].split() if k else []
+    return [w.decode() for w in text[starts[max(0, k - 2)] : a].encode().split()] if k else []
 
 
 def mentions(text: str, base: list, loose: list) -> list[dict]:
@@ -130,7 +139,7 @@ def mentions(text: str, base: list, loose: list) -> list[dict]:
     out, starts = [], [m.start() for m in _WORD_START.finditer(text)]
     for known, spans in ((True, base), (False, loose)):
         for a, kind, b in spans:
-            left = [_plain(w) for w in _before(text, starts, a)]
+            left = plain(_before(text, starts, a))
             value = _short(re.sub(r"\W", "", text[a:b]).lower())
             shapes = [left[-1]] if left and left[-1] else []
             if len(left) == 2 and all(left):
@@ -156,21 +165,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bases, pa.list_(_SPAN)), pa.array(found, pa.list_(_MENTION)), pa.array(digests)], names=["doc_id", "text_hash", "base", "mentions", "base_sha256"])
 
 
-class _Plain(dict):
-    """Words as _plain gives them."""
-
-    def __missing__(self, word: str) -> str:
-        if len(self) >= MOST:
-            self.clear()
-        out = self[word] = _plain(word)
-        return out
-
-
 def _counted(held):
-    """Sums of the occurrences of one and two words that are in the filter, or seem to be, by crc32."""
+    """Sums of the occurrences of one and two words that are in the filter, or seem to be, by crc32. The second word of a
+    pattern is a pattern too, of the same mentions, so pairs are looked for only where it is in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, plain, total = held.value, _Plain(), Counter()
+        blocks, total = held.value, Counter()
         none = bytes(BLOCK // 8)
 
         def inside(words: str) -> bool:
@@ -183,15 +183,25 @@ def _counted(held):
             return out
 
         for b in common.pieces(batches, "text"):
-            for text in common.col(b, "text"):
-                words = [plain[w] for w in (text or "").split()]
-                uses = {w: n for w, n in Counter(words).items() if w and inside(w)}
-                # The second word of a pattern is a pattern too, of the same mentions.
-                pairs = Counter((x, y) for x, y in zip(words, words[1:]) if x and y in uses)
-                total.update(uses)
-                total.update({p: n for (x, y), n in pairs.items() if inside(p := f"{x} {y}")})
-                if len(total) >= MOST:
-                    yield flush()
+            raw, at, sizes = common.words_of(b.column(b.schema.get_field_index("text")))
+            coded = pa.array(plain(raw), pa.string()).dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            seq = coded.indices.to_numpy()[at].astype(np.int64)
+            held_in = np.array([bool(w) and inside(w) for w in names], bool)
+            count = np.bincount(seq, minlength=len(names))
+            total.update({names[k]: int(count[k]) for k in np.flatnonzero(held_in & (count > 0))})
+            follows = np.ones(len(seq), bool)
+            follows[(np.cumsum(sizes) - sizes)[sizes > 0]] = False  # the first word of a text
+            k = np.flatnonzero(follows & held_in[seq])
+            full = np.array([bool(w) for w in names], bool)
+            k = k[full[seq[k - 1]]]
+            pairs, n = np.unique(seq[k - 1] * len(names) + seq[k], return_counts=True)
+            for pair, times in zip(pairs.tolist(), n.tolist()):
+                words = f"{names[pair // len(names)]} {names[pair % len(names)]}"
+                if inside(words):
+                    total[words] += times
+            if len(total) >= MOST:
+                yield flush()
         yield flush()
 
     return run

@@ -67,18 +67,6 @@ def tokens(text: str | None) -> list[str]:
     return [w.decode() for w in (text or "").encode().split()]
 
 
-def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words of a batch of texts, their numbers in the order of the texts, and how many each text has."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    parts = pc.ascii_split_whitespace(texts)
-    flat = parts.values.slice(parts.offsets[0].as_py(), parts.offsets[-1].as_py() - parts.offsets[0].as_py())
-    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # a text that begins or ends in white space has empty parts
-    ends = np.r_[0, np.cumsum(real)]
-    offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-    coded = flat.filter(pa.array(real)).dictionary_encode()
-    return coded.dictionary.cast(pa.string()), coded.indices.to_numpy(), np.diff(ends[offsets])
-
-
 def _marks(words: list[str]) -> tuple[int, int]:
     """Two smallest shingle hashes, by which near copies are told."""
     grams = {" ".join(words[k : k + 6]).encode() for k in range(max(1, len(words) - 5))}
@@ -132,7 +120,7 @@ class Field:
 
     def of_texts(self, texts: pa.Array) -> list[np.ndarray]:
         """P(toxic) of every token of every text."""
-        words, at, sizes = words_of(texts)
+        words, at, sizes = common.words_of(texts)
         return self._split(self.emissions(words)[at], sizes)
 
     def _split(self, e: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import os
 import random
+import re
 import types
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from quillstream.llm import ann, bpe, chat, common, langid, licenses, queries, simhash, toxicity
+from quillstream.llm import ann, bpe, chat, common, langid, licenses, pii, queries, simhash, toxicity
 
 COLUMNS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
@@ -193,9 +194,39 @@ def test_a_language_of_a_single_short_text_is_learned(spark):
     assert [x[0] for x in model.predict(["zyx wvu", "ipsum dolor"])] == ["aa", "bb"]
 
 
+# 5
+
+
+def test_uses_against_a_plain_count(spark):
+    r = random.Random(8)
+    vocabulary = ["Tel:", "tel", "Call", "call.", "12", "34", "...", "ÄÖ", "x" * 90, "y" * 90 + "!", "a\u00a0b"]
+    texts = [" \n".join(r.choices(vocabulary, k=r.randint(0, 30))) for _ in range(200)] + [None, "", "  tel"]
+    want: dict = {}
+    for t in texts:
+        plain = pii.plain([w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w])
+        for k, w in enumerate(plain):
+            for words in ([w] if w else []) + ([f"{plain[k - 1]} {w}"] if w and k and plain[k - 1] else []):
+                want[words] = want.get(words, 0) + 1
+    known = sorted(want)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {x.words: x.uses for x in pii.count_uses(spark.createDataFrame([(w,) for w in known], "words string"), rows).collect()}
+    assert {w: got[w] for w in known} == want
+    assert pii.plain(["x" * 90]) != pii.plain(["x" * 91]) and len(pii.plain(["x" * 90])[0]) == 65
+
+
+def test_long_contexts_and_values_are_not_cut():
+    text = "Reach " + "w" * 200 + " at " + "1" * 100 + "@a.example"
+    got = pii.mentions(text, pii.base_spans(text), [])
+    assert [m["pattern"] for m in got] == ["email:at", f"email:{pii.plain(['w' * 200])[0]} at"] and got[0]["value"] != pii.mentions(text.replace("1@", "12@"), pii.base_spans(text.replace("1@", "12@")), [])[0]["value"]
+
+
 # 6
 
 
+def test_every_sentence_has_a_word_of_the_gate():
+    assert all(re.search(licenses.GATE, s) for s in licenses.SENTENCES.values())
+
+
 def test_longer_rules_consume_their_sentences(spark):
     k = licenses.SENTENCES
     bsd = ["bsd-redistribute", "bsd-source", "bsd-binary"]
@@ -301,7 +332,7 @@ def test_chain_in_segments(monkeypatch):
 
 def test_words_of_a_batch():
     texts = [None, "", " \n", " a b\x0bA  a\x1c\xa0 ", "b", "\ta"]
-    words, at, sizes = toxicity.words_of(pa.array(texts))
+    words, at, sizes = common.words_of(pa.array(texts))
     said = [words[int(i)].as_py() for i in at]
     want = [toxicity.tokens(t) for t in texts]
     assert said == list(itertools.chain(*want)) and sizes.tolist() == [len(w) for w in want]
