@@ -148,12 +148,18 @@ _STEPS = (
 )
 
 
+_SIGNS = "".join(chr(c) for c in range(128) if not (chr(c).isalnum() or chr(c) in ("\n", _END)))
+
+
 def pieces(text: Column) -> Column:
     """A text as normalised pieces, none empty: two line ends between them, _BLANK between those where a blank line
     stood. A text without a piece is empty."""
     out = F.translate(F.coalesce(text, F.lit("")), f"ABCDEFGHIJKLMNOPQRSTUVWXYZ{_END}{_BLANK}", "abcdefghijklmnopqrstuvwxyz  ")
-    for old, new in _STEPS:
-        out = F.regexp_replace(out, old, new)
+    for k, (old, new) in enumerate(_STEPS):
+        if k == 1:  # the same as the pattern, which would match at every single space
+            out = F.regexp_replace(F.regexp_replace(F.translate(out, _SIGNS, " " * len(_SIGNS)), r"[^\x00-\x7F]+", " "), "  +", " ")
+        else:
+            out = F.regexp_replace(out, old, new)
     return out
 
 
