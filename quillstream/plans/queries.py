@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstream import session
 from quillstream.functions import capture, commands, dates, facts
 from quillstream.functions import text as T
+from quillstream.operators import audit as A
 from quillstream.operators import classify as K
 from quillstream.operators import curation as C
 from quillstream.operators import episodes as E
@@ -532,3 +533,64 @@ def page_render(spark: SparkSession, d: str) -> DataFrame:
     fact = F.when(F.col("doc_id") % 2 == 0, "\n- Uses port 1. (stated 2024-01-02) (inferred)").otherwise("")
     body = F.concat(F.lit("# Page "), F.col("doc_id").cast("string"), F.lit("\n"), fact, F.lit("\n- ~~Uses port 0. (stated 2024-01-01)~~ (observed; superseded 2024-01-02 by session:a)\n\n## Empty · session:b\n\n_Provenance: us, session:a_\n"))
     return tab(spark, d, "documents").select("doc_id", render.rendered(body).alias("shown"))
+
+
+_OUTCOME = "case event_type when 'click' then 'created' when 'view' then 'ignored' when 'purchase' then 'updated' when 'signup' then 'deferred' else 'failed' end"
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return tab(spark, d, "events").select(F.col("user_id").alias("batch"), "event_id", "ts", F.expr(_OUTCOME).alias("outcome"))
+
+
+@query(f"""with l as (select user_id as batch, {_OUTCOME} as outcome from events)
+select batch, outcome, count(*)::bigint as n, (sum(count(*) filter (outcome in ('created', 'ignored', 'updated'))) over (partition by batch))::bigint as done, (sum(count(*) filter (outcome in ('deferred', 'failed'))) over (partition by batch))::bigint as failed from l group by batch, outcome""")
+def batch_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return A.outcomes(_log(spark, d)).select("batch", "outcome", "n", "done", "failed")
+
+
+@query("select user_id as event_id, event_id as try from events where event_type = 'signup' qualify row_number() over (partition by user_id order by ts, event_id) = 1")
+def first_deferrals(spark: SparkSession, d: str) -> DataFrame:
+    log = _log(spark, d).select(F.col("batch").alias("event_id"), F.col("event_id").alias("batch"), "ts", "outcome")
+    return A.first_deferral(log).select("event_id", F.col("batch").alias("try"))
+
+
+@query("select max(user_id) + 1 as next from events")
+def next_decision_number(spark: SparkSession, d: str) -> DataFrame:
+    names = tab(spark, d, "events").select(F.concat(F.lit("adr-"), F.lpad(F.col("user_id").cast("string"), 4, "0"), F.lit("-title")).alias("name"))
+    return A.next_number(names, "name", "adr")
+
+
+@query("select user_id as episode_id, event_id as id from events qualify row_number() over (partition by user_id order by case when event_type = 'error' then 0 else 1 end, event_id) <= 8")
+def chosen_tool_calls(spark: SparkSession, d: str) -> DataFrame:
+    calls = tab(spark, d, "events").select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"))
+    return A.chosen_calls(calls).select("episode_id", "id")
+
+
+@query("select event_id, last_value(case when event_type = 'signup' then event_id % 100 end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) as day_offset from events")
+def carried_offsets(spark: SparkSession, d: str) -> DataFrame:
+    turns = tab(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_type") == "signup", F.col("event_id") % 100).alias("day_offset"))
+    return A.carried_offset(turns, "user_id", "event_id", "day_offset").select("event_id", "day_offset")
+
+
+@query("""with c as (select p_partkey as id, [p_brand, 'k' || p_size] as tags from part), t as (select id, unnest(list_distinct(tags)) as tag from c),
+s as (select s_suppkey as page_id, unnest(list_distinct(['k' || (s_suppkey % 50), 'Brand#' || (11 + s_suppkey % 5)])) as tag from supplier)
+select id as candidate_id, page_id, count(*)::bigint as n from t join s using (tag) group by all""")
+def tag_overlap(spark: SparkSession, d: str) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    ours = tab(spark, d, "part").select(F.col("p_partkey").alias("candidate_id"), F.array(F.col("p_brand"), F.concat(F.lit("k"), text("p_size"))).alias("tags"))
+    theirs = tab(spark, d, "supplier").select(F.col("s_suppkey").alias("page_id"), F.array(F.concat(F.lit("k"), (F.col("s_suppkey") % 50).cast("string")), F.concat(F.lit("Brand#"), (11 + F.col("s_suppkey") % 5).cast("string"))).alias("tags"))
+    return A.by_tags(ours, theirs)
+
+
+@query("select event_id, user_id from events a where event_type = 'click' and exists (select 1 from events b where b.user_id = a.user_id and b.event_type = 'view' and b.event_id > a.event_id)")
+def written_after_event(spark: SparkSession, d: str) -> DataFrame:
+    e = tab(spark, d, "events").select("event_id", "user_id", "event_type", F.col("user_id").cast("string").alias("text"))
+    return A.written_after(e.where("event_type = 'click'"), e.where("event_type = 'view'").select(F.col("event_id").alias("id"), "text")).select("event_id", "user_id")
+
+
+@query("select doc_id, case doc_id % 3 when 0 then doc_id % 2 = 0 end as record, case doc_id % 3 when 0 then 'because ' || doc_id end as why from documents")
+def model_decisions(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    good = F.concat(F.lit("<think>{no}</think>\n```json\n{\"record\": "), (F.col("doc_id") % 2 == 0).cast("string"), F.lit(", \"conf\": 0.5, \"why\": \"because "), n, F.lit("\", \"items\": []}\n```"))
+    answers = tab(spark, d, "documents").select("doc_id", F.when(k == 0, good).when(k == 1, "I can't say.").alias("answer"))
+    return answers.select("doc_id", A.decision(F.col("answer")).alias("d")).select("doc_id", "d.record", "d.why")
