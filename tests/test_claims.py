@@ -124,7 +124,7 @@ def test_pages(spark, tmp_path):
     page = W.parse(W.scan(spark, str(tmp_path))).withColumn("issues", W.issues()).collect()
     assert len(page) == 1 and page[0].id == "x" and page[0].tags == ["one", "two"] and page[0].issues == []
     assert W.sections(page[0].body) == [(1, "Top", "Text\n```\n# no heading\n```"), (2, "Sub", "More")]
-    assert [len(c) <= 700 for c in W.chunks("word " * 500)] and "".join(W.chunks("word " * 500)).replace(" ", "") == "word" * 500
+    assert all(len(c) <= 700 for c in W.chunks("word " * 500)) and "".join(W.chunks("word " * 500)).replace(" ", "") == "word" * 500
 
 
 def test_sync_embeds_only_what_is_new(spark):
