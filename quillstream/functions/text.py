@@ -48,16 +48,18 @@ def stem(token: Column) -> Column:
     """A light stem: short words and words with digits stay; ies, ing, ed, es, s go where three letters remain."""
     n = F.length(token)
     cut = lambda k: F.substring(token, F.lit(1), n - k)
+    ends = lambda c, s: F.endswith(c, F.lit(s))
     base = (
-        F.when(token.rlike("ies$") & (n >= 6), F.concat(cut(3), F.lit("i")))
-        .when(token.rlike("ing$") & (n >= 6), cut(3))
-        .when(token.rlike("ed$") & (n >= 5), cut(2))
-        .when(token.rlike("es$") & (n >= 5), cut(2))
-        .when(token.rlike("s$") & (n >= 4), cut(1))
+        F.when(ends(token, "ies") & (n >= 6), F.concat(cut(3), F.lit("i")))
+        .when(ends(token, "ing") & (n >= 6), cut(3))
+        .when(ends(token, "ed") & (n >= 5), cut(2))
+        .when(ends(token, "es") & (n >= 5), cut(2))
+        .when(ends(token, "s") & (n >= 4), cut(1))
         .otherwise(token)
     )
-    trimmed = F.when(base.rlike("e$") & (F.length(base) > 4), F.substring(base, F.lit(1), F.length(base) - 1)).otherwise(base)
-    return F.when((n <= 4) | token.rlike("[0-9]"), token).otherwise(trimmed)
+    trimmed = F.when(ends(base, "e") & (F.length(base) > 4), F.substring(base, F.lit(1), F.length(base) - 1)).otherwise(base)
+    digits = F.length(F.translate(token, "0123456789", "")) < n
+    return F.when((n <= 4) | digits, token).otherwise(trimmed)
 
 
 def plain_words(text: Column) -> Column:
