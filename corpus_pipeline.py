@@ -3,6 +3,12 @@
 Each stage works on all that the one before kept and gives the columns of documents; the last gives token digests.
 SQL can't express the field of the first stage nor the fingerprints of the second: ORACLE_SQL is None, and the tests
 hold the stages against brute force.
+
+Null texts count as empty everywhere; they and empty texts are one group of near duplicates, of which one document stays,
+and take no part in the mix, which repeats words. Rows without a doc_id can't be told apart, so the second stage keeps them
+all. Repeated rows (same id and text) are one document after the second stage. Null sources are a source of their own, long
+texts are taken whole, columns beyond those of documents are handed through up to the last stage, and an empty table gives
+no rows.
 """
 
 from __future__ import annotations
