@@ -111,7 +111,7 @@ def created(pages: DataFrame, candidates: DataFrame, day: str, writer: str) -> D
     kind = F.lit("learning")
     for t, p in PAGE_TYPES.items():
         kind = F.when(F.col("type") == t, p).otherwise(kind)
-    claim = F.element_at("claims", 1)["text"]
+    claim = F.try_element_at("claims", F.lit(1))["text"]
     named = F.btrim(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("subject"), F.lit("")), claim, F.lit("untitled")))
     rows = _with_claims(candidates).withColumns({"_kind": kind, "_named": named, "_prov": provenance(writer, day)})
     wish, numbered = F.col("_kind") == "user_preference", F.col("_kind") == "decision"
