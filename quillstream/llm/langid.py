@@ -1,16 +1,17 @@
 """Language identification by language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter has SLOTS slots of a bit per language; an n-gram sets its language's bit in HASHES slots, and
-the AND of an n-gram's slots gives every language that (perhaps falsely) contains it at one look. A text's languages
-are counted over all its n-grams, false positives are taken off by each language's own rate, and the largest count
-wins. A language contains an n-gram if its share there is at least RATIO of its largest share in any language; languages
-and shares come from all learning rows, counted in Spark. Of a language with RICH n-grams or more, those seen fewer than
-LEAST times are left out of the filter.
+A bit-sliced Bloom filter has slots of a bit per language; an n-gram sets its language's bit in HASHES slots, and the AND
+of an n-gram's slots gives every language that (perhaps falsely) contains it at one look. A text's languages are counted
+over all its n-grams, false positives are taken off by each language's own rate, and the largest count wins. A language
+contains an n-gram if its share there is at least RATIO of its largest share in any language, however rare it is and
+however many rows there are; languages and shares come from all learning rows, counted in Spark.
 
 Null texts and texts without a letter are `und`; without anything to learn, all are. A text none of whose n-grams is
 known gets the language with most n-grams, at score 0. Ties go to the smaller code. Repeated rows get a row each, an
-empty table none. A very long text is held whole, with some 40 bytes a character. The filter takes SLOTS bits a language
-(256 KB) on the driver and in a broadcast; MOST_LANGUAGES of them (1 GB) is the stated bound, beyond which fit() fails.
+empty table none. A very long text is held whole, with some 40 bytes a character. The filter has SPARSE
+slots for each distinct n-gram of the language that has most of them, SLOTS at least, so false positives stay under 2 %
+at any size. On the driver and in a broadcast it takes a byte a slot for every eight languages, begun or full: 2 MB up to
+131,072 n-grams, from there on 16 bytes for each of them. Over MOST_LANGUAGES languages (1 GB at least) fit() fails.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import common
 
-N, SLOTS, HASHES, RATIO, LEAST, RICH = 4, 1 << 21, 2, 0.4, 3, 1_000_000
+N, SLOTS, SPARSE, HASHES, RATIO = 4, 1 << 21, 16, 2, 0.4
 #: Slots of a page of the filter as executors return it.
 PAGE = 1 << 13
 #: Languages that a filter may hold.
@@ -74,8 +75,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def slots_of(h: np.ndarray) -> list[np.ndarray]:
-    return [((h >> np.uint64(24 * k)) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(HASHES)]
+def slots_of(h: np.ndarray, slots: int = SLOTS) -> list[np.ndarray]:
+    return [((h >> np.uint64(24 * k)) % np.uint64(slots)).astype(np.int64) for k in range(HASHES)]
 
 
 class Filter:
@@ -90,7 +91,7 @@ class Filter:
         if not self.languages:
             return [("und", 0.0) for _ in texts]
         masks = None
-        for s in slots_of(h):
+        for s in slots_of(h, len(self.table)):
             masks = self.table[s] if masks is None else masks & self.table[s]
         first = np.r_[0, np.cumsum(n)]
         hits = np.zeros((len(texts), len(self.languages)))
@@ -116,29 +117,30 @@ def fit(docs: DataFrame) -> Filter:
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null")
     counts = common.materialise(common.arrow_map(rows, _counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     spoken = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()
-    totals = {r[0]: 0 for r in spoken} | {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).limit(MOST_LANGUAGES + 1).collect()}
+    seen = counts.groupBy("lang").agg(F.sum("n"), F.count("gram")).limit(MOST_LANGUAGES + 1).collect()
+    totals = {r[0]: 0 for r in spoken} | {r[0]: r[1] for r in seen}
     if len(totals) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     names = sorted(totals, key=lambda x: [ord(c) for c in x])
     width = max(1, (len(names) + 7) // 8)
+    slots = max([SLOTS] + [-(-SPARSE * r[2] // PAGE) * PAGE for r in seen])
     if not names:
         return Filter([], np.zeros((0, 1), np.uint8), "und")
     spark = docs.sparkSession
     sizes = F.broadcast(spark.createDataFrame([(x, float(totals[x]), k) for k, x in enumerate(names)], "_lang string, _total double, _bit int"))  # MOST_LANGUAGES rows at most
     share = counts.join(sizes, F.col("lang") == F.col("_lang")).withColumn("share", F.col("n") / F.col("_total"))
-    share = share.where((F.col("n") >= LEAST) | (F.col("_total") < RICH))
     top = share.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= RATIO * F.col("most"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = b.column(0).to_numpy().view(np.uint64)
             bit = b.column(1).to_numpy()
-            s = np.concatenate(slots_of(h))
+            s = np.concatenate(slots_of(h, slots))
             yield pa.RecordBatch.from_arrays([pa.array(s // PAGE), pa.array(np.tile(bit, HASHES)), pa.array((s % PAGE).astype(np.int32))], names=["page", "bit", "slot"])
 
     marks = common.arrow_map(top.select("gram", "_bit"), placed, "page long, bit int, slot int").distinct()
     pages = marks.groupBy("page").agg(F.collect_list(F.col("slot").cast("long") * MOST_LANGUAGES + F.col("bit")).alias("marks"))  # PAGE * languages at most each
-    table = np.zeros((SLOTS, width), np.uint8)
+    table = np.zeros((slots, width), np.uint8)
     for page, found in pages.toLocalIterator():
         x = np.array(found, np.int64)
         np.bitwise_or.at(table, (page * PAGE + x // MOST_LANGUAGES, x % MOST_LANGUAGES // 8), (1 << (x % MOST_LANGUAGES % 8)).astype(np.uint8))
@@ -147,7 +149,7 @@ def fit(docs: DataFrame) -> Filter:
 
 def predict(docs: DataFrame, model: Filter) -> DataFrame:
     """doc_id, held_out, lang_pred, score; a row per row of docs."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS slots, a bit per language
+    held = docs.sparkSession.sparkContext.broadcast(model)  # a bit per slot and language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.pieces(batches, "text", 4 << 20):

@@ -194,6 +194,30 @@ def test_a_language_of_a_single_short_text_is_learned(spark):
     assert [x[0] for x in model.predict(["zyx wvu", "ipsum dolor"])] == ["aa", "bb"]
 
 
+@pytest.mark.parametrize("times", [1, 65_000])
+def test_rare_ngrams_count_however_large_a_language_is(spark, times):
+    """At 65,000 the language has over a million n-grams."""
+    docs = [("lorem ipsum dolor " * times, "aa"), ("zyx wvu", "aa"), ("quick brown fox " * (2 * times), "bb")]
+    model = langid.fit(spark.createDataFrame(docs, "text string, lang string"))
+    assert model.common_one == "bb" and model.predict(["zyx wvu"]) == [("aa", 1.0)]
+
+
+def test_the_filter_grows_with_the_ngrams(spark):
+    """A language with 300,000 different n-grams is still told apart from n-grams that it has not."""
+    r = np.random.default_rng(3)
+    text, other = ("".join(map(chr, r.integers(0x4E00, 0x9F00, n).tolist())) for n in (300_000, 100_000))
+    model = langid.fit(spark.createDataFrame([(text, "zh"), ("lorem ipsum", "la")], "text string, lang string"))
+    has, has_not = (langid.grams([x])[0] for x in (text, other))
+    zh = model.languages.index("zh")
+
+    def found(h):
+        a, b = (model.table[s, 0] >> zh & 1 for s in langid.slots_of(h, len(model.table)))
+        return (a & b).mean()
+
+    assert found(has) == 1 and found(has_not) < 0.02 and model.false[zh] < 0.02
+    assert [x[0] for x in model.predict([text[5000:5050], "lorem"])] == ["zh", "la"]
+
+
 # 5
 
 
