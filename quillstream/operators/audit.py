@@ -32,9 +32,10 @@ def first_deferral(log: DataFrame) -> DataFrame:
 
 
 def next_number(pages: DataFrame, name: str, prefix: str) -> DataFrame:
-    """next: one more than the largest number of the names `<prefix>-<number>...`; 1 where there is none."""
-    found = F.try_to_number(F.nullif(F.regexp_extract(F.coalesce(name, F.lit("")), rf"^{re.escape(prefix)}-([0-9]{{1,9}})(?:\D|$)", 1), F.lit("")), F.lit("999999999"))
-    return pages.agg((F.coalesce(F.max(found.cast("long")), F.lit(0)) + 1).alias("next"))
+    """next: one more than the largest number of the names `<prefix>-<number>...`; 1 where there is none. Numbers beyond a
+    long are none."""
+    found = F.regexp_extract(F.coalesce(name, F.lit("")), rf"^{re.escape(prefix)}-([0-9]+)(?:\D|$)", 1).try_cast("long")
+    return pages.agg((F.coalesce(F.max(found), F.lit(0)) + 1).alias("next"))
 
 
 def merged_drafts(drafts: DataFrame) -> DataFrame:

@@ -556,7 +556,8 @@ def first_deferrals(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select max(user_id) + 1 as next from events")
 def next_decision_number(spark: SparkSession, d: str) -> DataFrame:
-    names = tab(spark, d, "events").select(F.concat(F.lit("adr-"), F.lpad(F.col("user_id").cast("string"), 4, "0"), F.lit("-title")).alias("name"))
+    number = F.col("user_id").cast("string")
+    names = tab(spark, d, "events").select(F.concat(F.lit("adr-"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0")), F.lit("-title")).alias("name"))  # lpad also cuts
     return A.next_number(names, "name", "adr")
 
 

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 from quillstream import catalogue
+from quillstream.operators import audit as A
 
 
 def put(folder, **tables) -> str:
@@ -26,3 +27,14 @@ def same(spark, d: str, name: str) -> bool:
 ])
 def test_digest_at_any_size(spark, tmp_path, docs):
     assert same(spark, put(tmp_path, documents=docs), "wiki_digest")
+
+
+@pytest.mark.parametrize("most", [9_998, 9_999, 89_999, 3_000_000_000, 123_456_789_012_345_678])
+def test_next_number_of_any_length(spark, tmp_path, most):
+    events = f"select {most} - i as user_id from range(5) r(i) union all select 12 union all select null"
+    assert same(spark, put(tmp_path, events=events), "next_decision_number")
+
+
+def test_numbers_beyond_a_long_are_none(spark):
+    names = spark.createDataFrame([("adr-7-x",), ("adr-" + "9" * 30,), ("adr-0012",), ("adr-13x-y",), (None,)], "n string")
+    assert A.next_number(names, "n", "adr").first().next == 14
