@@ -1,5 +1,7 @@
 """Queries against their SQL on tables that are larger or odder than the given ones."""
 
+from collections import Counter
+
 import compare
 import duckdb
 import pytest
@@ -38,3 +40,18 @@ def test_next_number_of_any_length(spark, tmp_path, most):
 def test_numbers_beyond_a_long_are_none(spark):
     names = spark.createDataFrame([("adr-7-x",), ("adr-" + "9" * 30,), ("adr-0012",), ("adr-13x-y",), (None,)], "n string")
     assert A.next_number(names, "n", "adr").first().next == 14
+
+
+def test_shared_tags_of_odd_rows(spark):
+    ours = [(1, ["a", "b", "a"]), (1, ["b", None]), (2, ["b"]), (None, ["a"]), (None, ["a", "c"]), (3, []), (4, None), (5, ["z"])] + [(i, ["c"]) for i in range(100, 9_100)]
+    theirs = [(7, ["a", "b"]), (8, ["c", "b"]), (8, ["c"]), (None, ["b", "b"]), (9, [None])]
+    want = Counter((i, p) for i, s in ours for p, t in theirs for x in set(s or ()) & set(t or ()) if x)
+    got = A.by_tags(spark.createDataFrame(ours, "candidate_id long, tags array<string>"), spark.createDataFrame(theirs, "page_id long, tags array<string>"))
+    assert Counter({(r.candidate_id, r.page_id): r.n for r in got.collect()}) == want and got.count() == len(want)
+    assert A.by_tags(spark.createDataFrame([], "candidate_id long, tags array<string>"), spark.createDataFrame(theirs, "page_id long, tags array<string>")).count() == 0
+
+
+def test_pairs_of_shared_tags_are_not_grouped(spark, sf):
+    df = catalogue.queries()["tag_overlap"](spark, sf)
+    result, below = df._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression", 1)
+    assert result.count("Generate explode") == 2 and "Aggregate" not in result and "Aggregate" in below
