@@ -1,7 +1,9 @@
-"""Text functions as Columns: tokens, stems, query terms, overlap, excerpts, redaction, labels. All run in the JVM."""
+"""Text functions as Columns: tokens, stems, query terms, overlap, excerpts, redaction, labels. All run in the JVM, but for
+TokenSets, which is for whole tables of texts."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -73,6 +75,48 @@ def tokens(text: Column) -> Column:
     return F.transform(plain_words(text), stem)
 
 
+class TokenSets:
+    """The set of tokens() of a text, for Python workers: every different word is stemmed once while it is kept."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.known = most, dict.fromkeys((w.encode() for w in STOPWORDS), "")
+
+    def of(self, lowered: bytes) -> set[str]:
+        """The tokens of a text (UTF-8, in lower case)."""
+        if len(self.known) > self.most:
+            self.__init__(self.most)
+        out = set()
+        for w in set(_PLAIN(lowered)):
+            token = self.known.get(w)
+            if token is None:
+                token = _stemmed(w.decode())
+                if len(w) <= 64:
+                    self.known[w] = token
+            out.add(token)
+        out.discard("")
+        return out
+
+
+_PLAIN = re.compile(rb"[a-z0-9]+").findall
+_DIGIT = re.compile("[0-9]").search
+
+
+def _stemmed(w: str) -> str:
+    """stem() of a word."""
+    n = len(w)
+    if n <= 4 or _DIGIT(w):
+        return w
+    if w.endswith("ies") and n >= 6:
+        base = w[:-3] + "i"
+    elif w.endswith("ing") and n >= 6:
+        base = w[:-3]
+    elif w.endswith(("ed", "es")):
+        base = w[:-2]
+    else:
+        base = w.removesuffix("s")
+    return base[:-1] if base.endswith("e") and len(base) > 4 else base
+
+
 def query_terms(query: Column, most: int = 24) -> Column:
     """Distinct words of a query, cut to 64 characters, without stopwords and short numbers unless nothing else is left."""
     every = F.transform(words(query), lambda w: F.substring(w, 1, 64))

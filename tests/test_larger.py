@@ -5,8 +5,10 @@ from collections import Counter
 import compare
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillstream import catalogue
+from quillstream.functions import text as T
 from quillstream.operators import audit as A
 
 
@@ -55,3 +57,16 @@ def test_pairs_of_shared_tags_are_not_grouped(spark, sf):
     df = catalogue.queries()["tag_overlap"](spark, sf)
     result, below = df._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression", 1)
     assert result.count("Generate explode") == 2 and "Aggregate" not in result and "Aggregate" in below
+
+
+def test_token_sets_are_those_of_columns(spark, sf):
+    odd = ["", "The Cities, DRIED boxes; noes ties dies 1990s classes class ss apes trees freed bees agreed sing pinging", "\u0130stanbul \u212aelvin wei\u00dfes stra\u00dfe na\u00efve_word a_b", "x" * 100 + "es " + "y" * 100 + "es", "ees eed eing seeing been queues ices iced ages", "a\x00bc\ndies"]
+    texts = spark.createDataFrame([(t,) for t in odd], "text string").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select(F.coalesce("text", F.lit("")).alias("text")))
+    sets = T.TokenSets(50)
+    for r in texts.select(F.array_distinct(T.tokens(F.col("text"))).alias("want"), F.lower("text").alias("low")).collect():
+        assert sets.of(r.low.encode()) == set(r.want) and sets.of(r.low.encode()) == set(r.want)
+
+
+def test_documents_are_split_outside_of_patterns_in_the_jvm(spark, sf):
+    plan = catalogue.queries()["contamination_probe"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("regexp_extract_all" in line and "doc_id" in line for line in plan.splitlines()) and "MapInArrow" in plan
